@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from engram.llm.bpe import op9_bpe_roundtrip
 from engram.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from engram.llm.mixing import OP7_SQL, op7_mix_sources
+from engram.llm.token_files import op10_token_files
 
 QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op9_bpe_roundtrip": op9_bpe_roundtrip,
+    "op10_token_files": op10_token_files,
 }
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op7_mix_sources": OP7_SQL}
