@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from engram.llm.bpe import op9_bpe_roundtrip
 from engram.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from engram.llm.fixity import OP2_SQL, op2_merkle_fixity
 from engram.llm.lang_id import op1_language_id
 from engram.llm.mixing import OP7_SQL, op7_mix_sources
 from engram.llm.pii import op8_pii_anchors
@@ -11,10 +12,11 @@ from engram.llm.token_files import op10_token_files
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_merkle_fixity": op2_merkle_fixity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_pii_anchors": op8_pii_anchors,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op7_mix_sources": OP7_SQL}
+ORACLE_SQL = {"op2_merkle_fixity": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_mix_sources": OP7_SQL}
