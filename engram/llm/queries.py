@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from engram.llm.ann import op4_ann_graph
 from engram.llm.bpe import op9_bpe_roundtrip
 from engram.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from engram.llm.fixity import OP2_SQL, op2_merkle_fixity
@@ -13,6 +14,7 @@ from engram.llm.token_files import op10_token_files
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_merkle_fixity": op2_merkle_fixity,
+    "op4_ann_graph": op4_ann_graph,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_pii_anchors": op8_pii_anchors,
