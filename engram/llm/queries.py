@@ -6,6 +6,7 @@ from engram.llm.ann import op4_ann_graph
 from engram.llm.bpe import op9_bpe_roundtrip
 from engram.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from engram.llm.fixity import OP2_SQL, op2_merkle_fixity
+from engram.llm.jaccard_join import op5_jaccard_join
 from engram.llm.lang_id import op1_language_id
 from engram.llm.mixing import OP7_SQL, op7_mix_sources
 from engram.llm.pii import op8_pii_anchors
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_merkle_fixity": op2_merkle_fixity,
     "op4_ann_graph": op4_ann_graph,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_pii_anchors": op8_pii_anchors,
