@@ -10,11 +10,13 @@ from engram.llm.jaccard_join import op5_jaccard_join
 from engram.llm.lang_id import op1_language_id
 from engram.llm.mixing import OP7_SQL, op7_mix_sources
 from engram.llm.pii import op8_pii_anchors
+from engram.llm.substring_dedup import op3_substring_dedup
 from engram.llm.token_files import op10_token_files
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_merkle_fixity": op2_merkle_fixity,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_ann_graph": op4_ann_graph,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,

@@ -26,7 +26,10 @@ _words = WordHashes()
 
 def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
     """The hashes of the words of a UTF-8 text (bytes.split and bytes.lower know ASCII only, as wanted)."""
-    words = (data.lower() if lower else data).split()
+    return hashes_of((data.lower() if lower else data).split())
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([_words[w] for w in words]), dtype="<u8")
 
 
