@@ -139,18 +139,22 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one of each group of equal texts, with all their columns."""
-    kept = duplicate_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    typed = docs.where(F.col("doc_id").isNotNull())
-    out = typed.join(kept, typed["doc_id"].cast("long") == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    # A null id stays only if its text has no other id; ids do not identify such rows, so texts do.
-    return out.unionByName(_null_ids(docs))
-
-
-def _null_ids(docs: DataFrame) -> DataFrame:
-    nulls = docs.where(F.col("doc_id").isNull())
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha")).distinct()
-    sha = nulls.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["_sha"])
-    return sha.join(known, "_sha", "left_anti").drop("_sha")
+    found = written(duplicate_groups(docs).select("doc_id", "text_sha256", "kept"), "verdicts")
+    keys = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")]
+    gone = found.where(~F.col("kept")).select(*keys).distinct()
+    again = found.where("kept").groupBy(*keys).count().where("count > 1").select("_id", "_sha")
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+
+    def same(side: DataFrame):
+        return docs["doc_id"].cast("long").eqNullSafe(side["_id"]) & (sha == side["_sha"])
+
+    rest = docs.join(gone, same(gone), "left_anti")
+    if not again.limit(1).count():
+        return rest
+    # Rows repeated with the id and text that stay: one of them.
+    again = written(again, "again")
+    once = docs.join(again, same(again), "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    return rest.join(again, same(again), "left_anti").unionByName(once)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,23 +165,44 @@ def train(docs: DataFrame, labelled: Column) -> bytes:
 _models: dict[int, Model] = {}
 
 
+def _loaded(model: bytes) -> Model:
+    """One model for each Python worker."""
+    key = hash(model)
+    if key not in _models:
+        _models.clear()
+        _models[key] = pickle.loads(model)
+    return _models[key]
+
+
 def predict(docs: DataFrame, model: bytes) -> DataFrame:
     """(doc_id, lang_pred, score) for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value)
-        if key not in _models:
-            _models.clear()
-            _models[key] = pickle.loads(shared.value)
+        known = _loaded(shared.value)
         for whole in batches:
             for b in parts(whole):
-                found = [_models[key].predict(t) for t in b.column(1).to_pylist()]
+                found = [known.predict(t) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return integer_ids(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: bytes, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose language is not `und` and scores at least ``least``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _loaded(shared.value)
+        for whole in batches:
+            for b in parts(whole):
+                found = [known.predict(t) for t in b.column(at).to_pylist()]
+                yield b.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return predict(docs, train(docs, ~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

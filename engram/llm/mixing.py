@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, integer_ids, n_words, written
+from engram.llm.common import WORD, documents, integer_ids, n_words, written
 
 BLOCK = 4096
 MAX_PASSES = 3
@@ -140,6 +140,35 @@ def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix: each row of docs as often as it is taken whole, and once more, cut, if it is taken in part. All columns stay;
+    n_chars, if there, follows a cut text. Rows repeated with one doc_id, source and size share what they take."""
+    total = taken_by_key(docs, block)
+    own = [F.col("doc_id").cast("long").alias("_id"), F.col("source").alias("_source"), n_words().alias("_size")]
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *own)
+    same = _same(left["_id"], total["k_id"]) & _same(left["_source"], total["k_source"]) & (left["_size"] == total["k_size"])
+    rows = left.join(total, same).withColumn("_whole", F.floor(F.col("share") / F.col("_size"))).withColumn("_part", F.col("share") % F.col("_size"))
+    times = F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0)
+    rows = rows.where(times > 0).withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    cut = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_part").cast("int")), " ")
+    text = F.when(F.col("_time") > F.col("_whole"), cut).otherwise(F.col("_row.text"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_time") > F.col("_whole"), F.char_length(cut)).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def taken_by_key(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(k_id, k_source, k_size, share): the words taken of each row with this id, source and size."""
+    placed, goal, parts = plan(docs, block)
+    words = parts.groupBy("row_id").agg(F.sum("words").alias("taken"))
+    rows = placed.join(words, "row_id").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"))
+    count = placed.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).select(*[F.col(c).alias(f"n_{c}") for c in ("doc_id", "source", "size")], "n")
+    same = _same(F.col("doc_id"), F.col("n_doc_id")) & _same(F.col("source"), F.col("n_source")) & (F.col("size") == F.col("n_size"))
+    shares = rows.join(count, same).select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.floor(F.col("taken") / F.col("n")).alias("share"))
+    return written(shares, "shares")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(documents(spark, sf_dir))
 
