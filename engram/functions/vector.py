@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,15 +62,10 @@ def hash_embed(df: DataFrame, keys: list[str], text: Column, dim: int = 64) -> D
 
 def lcs_f(prediction: Column, reference: Column) -> Column:
     """ROUGE-L F of two texts: longest common subsequence of tokens, by a linear-space table in batches of rows."""
-    return _lcs(prediction, reference)
-
-
-@F.pandas_udf("double")
-def _lcs(prediction, reference):
-    import re
+    return F.pandas_udf(_lcs, "double")(prediction, reference)
 
-    import numpy as np
 
+def _lcs(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     def f(p: str | None, r: str | None) -> float:
         a, b = (re.findall("[a-z0-9]+", (x or "").lower()) for x in (p, r))
         if not a or not b:
