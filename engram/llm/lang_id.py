@@ -88,13 +88,14 @@ class Model:
         self.index: list[dict[str, int]] = []
         self.logs: list[np.ndarray] = []
         for n, found in enumerate(counts):
-            total = np.array([totals.get((k, n), 0) + 1.0 for k in range(len(languages))])
-            table = np.full((len(found), len(languages)), LACKING)
+            total = np.array([max(totals.get((k, n), 0), 1.0) for k in range(len(languages))])
+            # One floor for all languages, so that one with few training words gains nothing by what it lacks.
+            table = np.full((len(found), len(languages)), LACKING / total.max(initial=1.0))
             for row, by in enumerate(found.values()):
                 for k, x in by.items():
-                    table[row, k] = x
+                    table[row, k] = x / total[k]
             self.index.append({piece: row for row, piece in enumerate(found)})
-            self.logs.append(np.log(table / total))
+            self.logs.append(np.log(table))
         self._known: dict[str, int] = {}
         self._rows = np.zeros((1024, len(languages)))
 

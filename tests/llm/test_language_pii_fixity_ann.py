@@ -1,0 +1,184 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from engram.llm import ann, fixity, lang_id, pii
+
+from .helpers import awkward, corpus, frame
+
+ENGLISH = "the house of the old man and the sea was there when they came with this thing that which would be where you are"
+GERMAN = "das haus und der alte mann mit dem schiff war nicht da als sie kamen weil ich doch auch eine gute zeit habe"
+
+
+def labelled():
+    rng = random.Random(1)
+    out = []
+    for i in range(200):
+        lang, words = (("en", ENGLISH), ("de", GERMAN))[i % 2]
+        out.append((i, " ".join(rng.choices(words.split(), k=rng.randint(3, 30))).capitalize() + ".", lang, "s"))
+    return out
+
+
+def test_held_out_accuracy_and_edges(spark):
+    rows = awkward(labelled() + [(900, None, "en", "s"), (901, "", None, "s"), (902, "12 + 3", "en", "s"), (903, "日本", "xx", None), (904, "housen undings thester", None, "s")])
+    docs = frame(spark, rows)
+    model = lang_id.train(docs, ~lang_id.held_out())
+    joined = lang_id.predict(docs, model)
+    assert joined.columns == ["doc_id", "lang_pred", "score"] and joined.count() == len(rows)
+    got = {r["doc_id"]: r for r in joined.collect()}
+    wrong = [(t, got[i]["lang_pred"]) for i, t, lang, _ in labelled() if got[i]["lang_pred"] != lang and i != 5]  # 5 has another text too
+    assert not wrong
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3
+    assert got[904]["lang_pred"] in ("en", "de")
+    kept = lang_id.keep_identified(docs, model)
+    assert kept.columns == docs.columns and {900, 901, 902}.isdisjoint(r["doc_id"] for r in kept.collect())
+
+
+def test_learning_uses_only_the_labelled_fold(spark):
+    rows = [(i, "aaa bbb", "x" if i % 2 else "y", "s") for i in range(40)]
+    docs = frame(spark, rows)
+    model = lang_id.train(docs, F.col("lang") == "x")
+    assert {r["lang_pred"] for r in lang_id.predict(docs, model).collect()} == {"x"}
+    nothing = lang_id.train(docs.limit(0), ~lang_id.held_out())
+    assert {(r["lang_pred"], r["score"]) for r in lang_id.predict(docs, nothing).collect()} == {("und", 0.0)}
+    assert lang_id.predict(docs.limit(0), model).count() == 0
+
+
+def test_backoff_takes_the_longest_known_grams():
+    model = lang_id.Model(["a", "b"], [1, 1], [(0, 0, "word", 5), (0, 3, "xyz", 5), (1, 1, "x", 5)], {(0, 0): 5, (0, 3): 5, (1, 1): 5})
+    assert model.predict("word")[0] == "a" and model.predict("qxyzq")[0] == "a" and model.predict("xq")[0] == "b"
+    assert model.predict("ppp") == ("a", 0.5)
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(digits[::-1]):
+        x = int(c) * (2 if k % 2 else 1)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def brute_spans(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, f"email:{m.start()}:{m.end()}"))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, f"ip:{m.start()}:{m.end()}"))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and luhn(d):
+            out.append((m.start(), 2, f"card:{m.start()}:{m.end()}"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, f"phone:{m.start()}:{m.end()}"))
+    return ",".join(s for *_, s in sorted(out))
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("12345678904" * 2 + "..+-@@ ()abA%_é٣:/") for _ in range(rng.randint(0, 60))) for _ in range(20_000)]
+    texts += ["a@b@c.de", "x@y.com@z.com", "1.2.3.4.5.6.7.8", "999.1.1.1", "4111 1111 1111 1111", "+1 (716) 555-8176", "+1+1+123456789", "1" * 5000, "@" * 3000, "a." * 3000 + "@b.c"]
+    for t in texts:
+        assert pii.joined([s for s in pii.find(t) if s[2] in pii.BASE]) == brute_spans(t)
+
+
+def test_further_spans():
+    text = "see https://a.b/c?d=1. IBAN DE89 3704 0044 0532 0130 00 ok account no: 12345678 at 12 Baker Street, Hauptstraße 5; IBAN DE88 3704 0044 0532 0130 00"
+    found = [(k, text[a:b]) for a, b, k in pii.find(text) if k not in pii.BASE]
+    assert found == [("url", "https://a.b/c?d=1"), ("account", "DE89 3704 0044 0532 0130 00"), ("account", "12345678"), ("address", "12 Baker Street"), ("address", "Hauptstraße 5")]
+    assert pii.redact("mail a@b.co now") == "mail <email> now"
+
+
+def test_detect(spark):
+    rows = awkward(corpus() + [(500, "a@b.co 1.2.3.4, 4111111111111111 x +1 716 555 8176", "en", "s")])
+    got = pii.detect(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    row = next(r for r in got if r["doc_id"] == 500)
+    assert [row[f"n_{k}"] for k in pii.BASE] == [1, 1, 1, 1]
+    assert all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() and r["spans"] == "" for r in got if r["doc_id"] is None)
+    assert pii.detect(frame(spark, rows).limit(0)).count() == 0
+
+
+def pages(spark, n=400):
+    rows = [(i, f"http://x/{i}", f"<p>{'y' * (i * 37 % 900)}</p>", "k") for i in range(n)] + [(7, None, None, "k"), (None, "u", "h", None)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string, archive string")
+
+
+def test_audit_finds_exactly_the_damage(spark):
+    rows = fixity.placed(fixity.records(pages(spark)))
+    primary = rows.persist()
+    bad = [r for r in primary.orderBy("archive", "offset").collect()][::40]
+    keys = {(r["archive"], r["offset"]) for r in bad[:5]}
+    gone = {(r["archive"], r["offset"]) for r in bad[5:]}
+    at = F.concat_ws(":", "archive", "offset")
+    replica = primary.where(~at.isin([f"{a}:{o}" for a, o in gone])).withColumn("sha", F.when(at.isin([f"{a}:{o}" for a, o in keys]), "x").otherwise(F.col("sha")))
+    extra = spark.createDataFrame([("zz", None, 5, "s", 0)], "archive string, page_id long, length long, sha string, offset long").select(*primary.columns)
+    got = {(r["archive"], r["offset"]): r["status"] for r in fixity.audit(primary, replica.unionByName(extra)).collect()}
+    assert got == dict.fromkeys(keys, "altered") | dict.fromkeys(gone, "missing") | {("zz", 0): "extra"}
+    assert fixity.audit(primary, primary).count() == 0
+    assert fixity.audit(primary.limit(0), primary.limit(0)).count() == 0
+
+
+def test_records_and_roots(spark):
+    rows = fixity.records(pages(spark, 5)).where("page_id = 3").first()
+    assert rows["record"].startswith("WARC/1.1\r\n") and rows["record"].endswith("\r\n\r\n") and "Content-Length: 118\r\n" in rows["record"]
+    assert rows["length"] == len(rows["record"].encode())
+    placed = fixity.placed(fixity.records(pages(spark)))
+    for r in placed.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("x")).collect():
+        at = 0
+        for offset, length in r["x"]:
+            assert offset == at
+            at += length
+
+
+def vectors(n, dim=16, seed=1):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n, dim))
+
+
+def brute_neighbours(x, ids, q, k):
+    d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+    order = [i for i in np.lexsort((ids, d)) if i != q][:k]
+    return [(int(ids[i]), d[i]) for i in order]
+
+
+def test_recall_of_the_graph(spark):
+    x = vectors(3000)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    usable = ann.usable(rows)
+    got = ann.search(usable.where("vec_id % 100 = 0"), ann.build_index(usable, shard=1000)).collect()
+    hit = 0
+    for q in range(0, 3000, 100):
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        true = brute_neighbours(x, np.arange(3000), q, 10)
+        hit += len({i for i, _ in true} & {r["vec_id"] for r in mine})
+        assert len(mine) == 10 and all(r["score"] == pytest.approx(np.sqrt(((x[q] - x[r["vec_id"]]) ** 2).sum())) for r in mine)
+    assert hit / 300 >= 0.9
+
+
+def test_odd_vectors_ties_and_few_candidates(spark):
+    rows = [(0, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [0.0, 0.0], "a"), (4, None, "a"), (5, [1.0, None], "a"), (6, [float("nan"), 1.0], "a"), (7, [float("inf"), 1.0], "a"),
+            (8, [], "a"), (9, [0.0, 1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (100, [1.0, -0.0], "a"), (None, [1.0, 1.0], None)]
+    usable = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string"))
+    got = ann.search(usable.where("vec_id % 100 = 0"), ann.build_index(usable))
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.orderBy("query_id", "rank").collect()] == [
+        (0, 1, 1, 0.0), (0, 2, 100, 0.0), (0, 3, 2, 1.0), (100, 1, 0, 0.0), (100, 2, 1, 0.0), (100, 3, 2, 1.0)
+    ]
+    none = usable.limit(0)
+    assert ann.search(none, ann.build_index(none)).count() == 0
+
+
+def test_copies_of_one_vector(spark):
+    x = vectors(50)
+    rows = [(i, x[i % 50 if i < 60 else 0].tolist()) for i in range(400)]
+    usable = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.search(usable.where("vec_id % 100 = 0"), ann.build_index(usable)).collect()
+    full = np.array([v for _, v in rows])
+    for q in range(0, 400, 100):
+        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == brute_neighbours(full, np.arange(400), q, 10)
