@@ -11,8 +11,9 @@ The boundary between them is the size at which the rows of the subsets cost as m
 the lists. Sets near the boundary do both, so no pair falls between. An item that one document alone has links nothing and is
 not listed. A list that may be long, by its item's count, is spread over pairs of blocks.
 
-Scanning a list compares sizes and profiles (how many items fall in each of PROFILE cells), which never rules out a true pair,
-and emits a spanning forest of what remains, not all pairs. The forest's edges are verified on the full sets. Where an edge
+Scanning a list compares sizes and profiles (for each of 8 * PROFILE cells whether the number of items in it is odd: two sets
+differ in at least as many items as their profiles in bits), which never rules out a true pair, and emits a spanning forest of
+what remains, not all pairs. The forest's edges are verified on the full sets. Where an edge
 fails, the lists that it came from are scanned again for every remaining pair between different components, and those are
 verified too; so the components are those of all links.
 
@@ -38,7 +39,8 @@ from engram.llm.components import components
 from engram.llm.shingles import mixed, shingle_set, texts
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
-PROFILE, BLOCK = 32, 4096
+#: Bytes of a profile; members of a list that are compared in one place.
+PROFILE, BLOCK = 64, 4096
 #: Bits of the table of counts and of the filter of wanted documents: the only things broadcast, of fixed size.
 LEVEL_BITS, FILTER_BITS = 24, 24
 #: Cost of a row, and of one comparison in a list's scan; the most items of which subsets are taken.
@@ -94,6 +96,14 @@ def boundary(mean_list: float, t: Fraction) -> int:
     return int(items / float(1 - t))
 
 
+def least_light(t: Fraction) -> int:
+    """The least size at which any linked set shares two items, as subsets need."""
+    size = 1
+    while -(-t.numerator * size // t.denominator) < 2:
+        size += 1
+    return size
+
+
 def prefix(items: np.ndarray, levels: np.ndarray, t: Fraction, extra: int) -> tuple[np.ndarray, np.ndarray]:
     """The first size - ceil(t * size) + extra items of a sorted set in the global order, with their levels."""
     size = len(items)
@@ -120,11 +130,12 @@ _POSTINGS = "doc_id long, fp binary, n int, profile binary, key long, block int"
 def _postings(source: DataFrame, n: int, t: Fraction, levels: np.ndarray, light: int) -> DataFrame:
     """A row for each document (key null), and the listings of each class that a task meets."""
     shared = source.sparkSession.sparkContext.broadcast(levels)
+    least = least_light(t)
     names, types = ["doc_id", "fp", "n", "profile", "key", "block"], [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
 
     def listings(items: np.ndarray, fp: bytes, table: np.ndarray) -> Iterator[tuple[int, int]]:
         size = len(items)
-        if size <= light and size > 1:
+        if least <= size <= light:
             first, level = prefix(items, table, t, 2)
             first, level = first[level > 0], level[level > 0]
             i, j = np.triu_indices(len(first), 1)
@@ -133,7 +144,7 @@ def _postings(source: DataFrame, n: int, t: Fraction, levels: np.ndarray, light:
             for key, block_level in zip(keys.tolist(), np.minimum(level[i], level[j]).tolist(), strict=True):
                 for block in _blocks(fp, block_level):
                     yield key, block
-        if size * t.denominator > light * t.numerator:
+        if size * t.denominator > light * t.numerator or size * t.numerator < least * t.denominator:
             first, level = prefix(items, table, t, 1)
             for key, item_level in zip(first[level > 0].view(np.int64).tolist(), level[level > 0].tolist(), strict=True):
                 for block in _blocks(fp, item_level):
@@ -153,8 +164,8 @@ def _postings(source: DataFrame, n: int, t: Fraction, levels: np.ndarray, light:
                     rows.append((doc, fp, len(items), None, None, None))
                     if fp not in seen:
                         seen.add(fp)
-                        cells = np.bincount((items >> np.uint64(59)).astype(np.int64), minlength=PROFILE)
-                        profile = np.minimum(cells, 255).astype(np.uint8).tobytes()
+                        cells = np.bincount((items % np.uint64(8 * PROFILE)).astype(np.int64), minlength=8 * PROFILE)
+                        profile = np.packbits(cells & 1).tobytes()
                         rows += [(None, fp, len(items), profile, key, block) for key, block in listings(items, fp, table)]
                 columns = zip(*rows, strict=True) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
@@ -163,11 +174,13 @@ def _postings(source: DataFrame, n: int, t: Fraction, levels: np.ndarray, light:
 
 
 def _close(size: np.ndarray, profile: np.ndarray, i: int, others: np.ndarray, t: Fraction, above: int) -> np.ndarray:
-    """Which others may reach the threshold with i: sizes and profiles allow it, and one of the two is larger than ``above``."""
+    """Which others may reach the threshold with i: sizes and profiles allow it, and the light lists do not have the pair, which
+    they do if both sizes lie between the least and ``above`` (0 in a light list)."""
     a, b = size[i], size[others]
-    fits = (np.minimum(a, b) * t.denominator >= np.maximum(a, b) * t.numerator) & (np.maximum(a, b) > above)
+    small, large = np.minimum(a, b), np.maximum(a, b)
+    fits = (small * t.denominator >= large * t.numerator) & ((large > above) | (small < least_light(t)))
     k = np.flatnonzero(fits)
-    apart = np.abs(profile[others[k]] - profile[i]).sum(axis=1)
+    apart = np.bitwise_count(profile[others[k]] ^ profile[i]).sum(axis=1, dtype=np.int64)
     fits[k] = apart * (t.denominator + t.numerator) <= (a + b[k]) * (t.denominator - t.numerator)
     return fits
 
@@ -202,7 +215,7 @@ def _scan(lists: DataFrame, t: Fraction, light: int, labelled: bool) -> DataFram
             members = b.column(2)
             flat = members.flatten()
             fps, size = flat.field("fp").to_pylist(), flat.field("n").to_numpy().astype(np.int64)
-            profile = np.frombuffer(b"".join(flat.field("profile").to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int32)
+            profile = np.frombuffer(b"".join(flat.field("profile").to_pylist()), "<u8").reshape(-1, PROFILE // 8)
             label = flat.field("label").to_pylist() if labelled else None
             ends = np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False))
             out = []
