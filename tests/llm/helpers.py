@@ -35,4 +35,4 @@ def frame(spark, rows):
 
 def awkward(rows):
     """rows and more: a repeated row, a repeated id with another text, null ids."""
-    return [*rows, rows[4], (rows[5][0], "another text under a used id", "en", "s2"), (None, "no id at all", "en", None), (None, None, None, None), (None, rows[6][1], "fr", "s1")]
+    return [*rows, rows[4], (rows[5][0], "another text under a used id", "en", "s2"), (None, "no id at all", "en", None), (None, None, None, None), (None, rows[6][1], rows[6][2], "s1")]
