@@ -26,20 +26,21 @@ class WaveletMatrix:
             self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1])
             self.zeros.append(self.n - int(bit.sum()))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
+        every = np.arange(1 << bits)
+        #: Where each symbol's occurrences begin in the last level.
+        self.start = self._down(every, np.zeros_like(every))
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol occurs before its position."""
-        start = np.zeros_like(at)
-        both = np.concatenate([at, start])
-        half = len(at)
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, level in enumerate(range(self.bits - 1, -1, -1)):
-            word = both >> 6
-            inside = self.words[k][word] & ((np.uint64(1) << (both & 63).astype(np.uint64)) - np.uint64(1))
+            word = at >> 6
+            inside = self.words[k][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
             ones = self.ones[k][word] + np.bitwise_count(inside)
-            bit = (symbol >> level) & 1
-            bit = np.concatenate([bit, bit]).astype(bool)
-            both = np.where(bit, self.zeros[k] + ones, both - ones)
-        return both[:half] - both[half:]
+            at = np.where((symbol >> level) & 1, self.zeros[k] + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each symbol occurs before its position."""
+        return self._down(symbol, at) - self.start[symbol]
 
 
 def ranks(text: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
@@ -51,7 +52,7 @@ def ranks(text: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
         second = np.zeros(n, dtype=np.int64)
         second[: max(0, n - shift)] = b[shift:] + 1
         key = a * (int(b.max(initial=0)) + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.empty(n, dtype=np.int64)
         new[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])[:n]
         return new
@@ -62,6 +63,9 @@ def ranks(text: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
         width *= 2
     out = {}
     for m in lengths:
+        if not m:
+            out[m] = np.zeros(n, dtype=np.int64)
+            continue
         w = 1 << (m.bit_length() - 1)
         out[m] = known[w] if w == m else joined(known[w], known[w], m - w)  # two overlapping halves give the order
     return out
@@ -73,7 +77,7 @@ class FmIndex:
     def __init__(self, text: np.ndarray, depth: int, weight: np.ndarray):
         self.n, self.depth = len(text), depth
         order = ranks(text, [depth - 1, depth])
-        suffixes = np.argsort(order[depth], kind="stable")
+        suffixes = np.argsort(order[depth])
         bits = max(1, int(text.max(initial=0)).bit_length())
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << bits))])
         self.matrix = WaveletMatrix(text[suffixes - 1], bits)  # the symbol before each suffix; the text's last before its first

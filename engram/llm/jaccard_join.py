@@ -41,8 +41,9 @@ from engram.llm.shingles import mixed, shingle_set, texts
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: Bytes of a profile; members of a list that are compared in one place.
 PROFILE, BLOCK = 64, 4096
-#: Bits of the table of counts and of the filter of wanted documents: the only things broadcast, of fixed size.
-LEVEL_BITS, FILTER_BITS = 24, 24
+#: The only things broadcast: a table of counts of a byte for each of at most 2^LEVEL_BITS cells (16 cells for each item counted,
+#: as far as that goes), and a filter of wanted documents of 2^FILTER_BITS bits.
+LEVEL_BITS, FILTER_BITS = 26, 24
 #: Cost of a row, and of one comparison in a list's scan; the most items of which subsets are taken.
 ROW, SCAN, MOST_ITEMS = 1.0, 0.02, 24
 OUTSIDE = 255
@@ -71,8 +72,9 @@ def _counted(source: DataFrame, n: int, t: Fraction) -> DataFrame:
 
 
 def _levels(counts: DataFrame) -> np.ndarray:
-    """A byte for each of 2^LEVEL_BITS cells of the hash space: the greatest count there on a log scale, 0 for none."""
-    cell = F.shiftrightunsigned("item", 64 - LEVEL_BITS)
+    """A byte for each cell of the hash space: the greatest count there on a log scale, 0 for none."""
+    bits = min(LEVEL_BITS, max(12, (16 * counts.count()).bit_length()))
+    cell = F.shiftrightunsigned("item", 64 - bits)
     level = F.least(F.lit(OUTSIDE - 1), F.lit(1) + F.floor(F.log2("c") * 4)).cast("int")
     cells = counts.select(F.shiftright(cell, 12).cast("int").alias("page"), (cell % 4096).cast("int").alias("at"), level.alias("level"))
 
@@ -82,12 +84,16 @@ def _levels(counts: DataFrame) -> np.ndarray:
         return pd.DataFrame({"page": [int(frame["page"].iloc[0])], "levels": [out.tobytes()]})
 
     cells = cells.groupBy("page", "at").agg(F.max("level").alias("level"))
-    table = np.zeros(1 << LEVEL_BITS, dtype=np.uint8)
-    for r in cells.groupBy("page").applyInPandas(page, "page int, levels binary").toArrow().to_pylist():  # at most 4096 pages
+    table = np.zeros(1 << bits, dtype=np.uint8)
+    for r in cells.groupBy("page").applyInPandas(page, "page int, levels binary").toArrow().to_pylist():  # as large as the table
         table[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["levels"], np.uint8)
     return table
 
 
+def level_of(items: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return levels[(items >> np.uint64(65 - len(levels).bit_length())).astype(np.int64)]
+
+
 def boundary(mean_list: float, t: Fraction) -> int:
     """The greatest size at which subsets cost no more than lists, with lists of this mean length."""
     items = 1
@@ -108,8 +114,7 @@ def prefix(items: np.ndarray, levels: np.ndarray, t: Fraction, extra: int) -> tu
     """The first size - ceil(t * size) + extra items of a sorted set in the global order, with their levels."""
     size = len(items)
     take = min(size, size - -(-t.numerator * size // t.denominator) + extra)
-    level = levels[(items >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
-    level = np.where(in_window(items, t), level, OUTSIDE)
+    level = np.where(in_window(items, t), level_of(items, levels), OUTSIDE)
     order = np.lexsort((items, level))[:take]
     return items[order], level[order]
 

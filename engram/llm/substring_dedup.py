@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from engram.llm.common import documents, integer_ids, shuffle_partitions, written
 from engram.llm.fm_index import FmIndex
-from engram.llm.jaccard_join import LEVEL_BITS, _levels
+from engram.llm.jaccard_join import _levels, level_of
 from engram.llm.shingles import hashes_of, mixed, rolled, texts
 
 WINDOW = 35
-#: A run of windows with one anchor is cut after so many; an anchor with more segments than this is routed by window.
+#: A run of windows with one anchor is cut after so many; an anchor with more segments than this, and than half a shard has on
+#: average, is routed by window.
 LONGEST_RUN, FREQUENT = 256, 1024
 #: Shards for each shuffle partition; segments searched at once.
 SHARDS, AT_ONCE = 4, 20_000
@@ -38,7 +39,7 @@ _EMPTY = np.empty(0, dtype=np.int64)
 
 
 def anchor_words(window: int) -> int:
-    return max(1, window // 3)
+    return max(1, window // 4)
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -85,7 +86,8 @@ class Segments:
             whole = np.repeat(size, parts)
             starts = np.repeat(starts, parts) + offset * LONGEST_RUN
             size = np.minimum(whole - offset * LONGEST_RUN, LONGEST_RUN)
-        self.start, self.size, self.anchor = starts, size, least[starts]
+        # Least hashes crowd at the low end; scrambled ones spread evenly over cells and shards.
+        self.start, self.size, self.least, self.anchor = starts, size, least[starts], mixed(least[starts])
         self.doc = np.searchsorted(self.first + sizes, starts, side="right")
         self.slots = slots
 
@@ -95,7 +97,7 @@ class Segments:
             return self.start
         span = self.size + self.slots - 1
         offset = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-        same = self.grams[np.repeat(self.start, span) + offset] == np.repeat(self.anchor, span)
+        same = self.grams[np.repeat(self.start, span) + offset] == np.repeat(self.least, span)
         return np.minimum(2, np.add.reduceat(same.astype(np.int64), np.cumsum(span) - span))
 
 
@@ -113,39 +115,39 @@ def _anchors(source: DataFrame, window: int) -> DataFrame:
     return source.mapInArrow(run, "item long, c long").groupBy("item").agg(F.sum("c").alias("c")).where("c > 1")
 
 
-_PLACED = "doc_id long, row_key long, start int, fp binary, shard int, words binary, c int"
+_PLACED = "doc_id long, row_key long, start int, fp binary, shard int, route long, words binary, c int"
 
 
-def _segments(source: DataFrame, window: int, levels: np.ndarray, shards: int) -> DataFrame:
-    """Places (doc_id, row_key, start, fp) of segments, and rows (fp, shard, words, c) of the distinct ones of a batch."""
+def _segments(source: DataFrame, window: int, levels: np.ndarray, shards: int, frequent: float) -> DataFrame:
+    """Places (doc_id, row_key, start, fp) of segments, and rows (fp, shard, route, words, c) of the distinct ones of a batch."""
     shared = source.sparkSession.sparkContext.broadcast(levels)
-    names = ["doc_id", "row_key", "start", "fp", "shard", "words", "c"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
+    names = ["doc_id", "row_key", "start", "fp", "shard", "route", "words", "c"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for b in batches:
             for part, data in texts(b, 2, 2048):
                 s = Segments(data, window)
-                level = table[(s.anchor >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
+                level = level_of(s.anchor, table)
                 docs, keys, words = part.column(0).to_pylist(), part.column(1).to_pylist(), s.words
                 rows, distinct = [], {}
                 for k in np.flatnonzero(level > 0).tolist():
                     start, size, doc = int(s.start[k]), int(s.size[k]), int(s.doc[k])
                     pieces = [(start, size, int(s.anchor[k]))]
-                    if 2 ** ((int(level[k]) - 1) / 4) > FREQUENT:
+                    if 2 ** ((int(level[k]) - 1) / 4) > frequent:
                         own = mixed(rolled(s.hashes[start : start + size + window - 1], window)).tolist()
                         pieces = [(start + i, 1, route) for i, route in enumerate(own)]
                     for at, n, route in pieces:
                         text = b" ".join(words[at : at + n + window - 1])
                         fp = xxhash.xxh3_128_digest(text)
-                        rows.append((docs[doc], keys[doc], at - int(s.first[doc]), fp, None, None, None))
+                        rows.append((docs[doc], keys[doc], at - int(s.first[doc]), fp, None, None, None, None))
                         seen = distinct.get(fp)
                         if seen:
                             seen[2] += 1
                         else:
-                            distinct[fp] = [route % shards, text, 1]
-                rows += [(None, None, None, fp, shard, text, c) for fp, (shard, text, c) in distinct.items()]
+                            distinct[fp] = [route, text, 1]
+                rows += [(None, None, None, fp, route % shards, route - (1 << 63), text, c) for fp, (route, text, c) in distinct.items()]
                 columns = zip(*rows, strict=True) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
 
@@ -155,18 +157,28 @@ def _segments(source: DataFrame, window: int, levels: np.ndarray, shards: int) -
 def _searched(window: int):
     def shard(frame: pd.DataFrame) -> pd.DataFrame:
         """(fp, repeated): a byte for each window of the shard's segments that have any repeated one."""
+        # A route that one segment alone takes, once, was let through by a full table only: it meets nothing. (If that segment
+        # repeats itself, the anchor stands in it twice, and only a look at its windows can tell.)
+        taken = frame.groupby("route")["c"].transform("sum").to_numpy()
         kept: dict[bytes, list] = {}
-        for fp, text, c in zip(frame["fp"], frame["words"], frame["c"], strict=True):
-            seen = kept.setdefault(bytes(fp), [text, 0])
-            seen[1] += c
+        for fp, text, c, n in zip(frame["fp"], frame["words"], frame["c"], taken, strict=True):
+            if n > 1 or _repeats_itself(bytes(text).split(), window):
+                seen = kept.setdefault(bytes(fp), [text, 0])
+                seen[1] += c
+        if not kept:
+            return pd.DataFrame({"fp": [], "repeated": []})
         code: dict[bytes, int] = {}
         pieces = [np.array([code.setdefault(w, len(code) + 1) for w in bytes(text).split()], dtype=np.int64) for text, _ in kept.values()]
         sizes = np.array([len(p) + 1 for p in pieces])
         text = np.concatenate([x for p in pieces for x in (p, _END)])
         index = FmIndex(text, window, np.repeat(np.array([c for _, c in kept.values()]), sizes))
-        fps, out = list(kept), {"fp": [], "repeated": []}
-        for at in range(0, len(pieces), AT_ONCE):
-            for fp, weight in zip(fps[at : at + AT_ONCE], index.matching(pieces[at : at + AT_ONCE]), strict=True):
+        # Of a segment that occurs twice all windows are repeated; the others are searched.
+        twice = [(fp, np.ones(len(p) - window + 1, dtype=bool)) for p, (fp, (_, c)) in zip(pieces, kept.items(), strict=True) if c > 1]
+        once = [(fp, p) for p, (fp, (_, c)) in zip(pieces, kept.items(), strict=True) if c == 1]
+        out = {"fp": [fp for fp, _ in twice], "repeated": [r.tobytes() for _, r in twice]}
+        for at in range(0, len(once), AT_ONCE):
+            part = once[at : at + AT_ONCE]
+            for (fp, _), weight in zip(part, index.matching([p for _, p in part]), strict=True):
                 if (weight > 1).any():
                     out["fp"].append(fp)
                     out["repeated"].append((weight > 1).tobytes())
@@ -178,12 +190,20 @@ def _searched(window: int):
 _END = np.zeros(1, dtype=np.int64)
 
 
+def _repeats_itself(words: list[bytes], window: int) -> bool:
+    """Whether words could hold a window twice: some run of anchor length stands in them twice."""
+    m = anchor_words(window)
+    runs = [tuple(words[i : i + m]) for i in range(len(words) - m + 1)]
+    return len(set(runs)) < len(runs)
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(source, found): source has (doc_id, row_key, text), found (doc_id, row_key, start, repeated) of segments."""
     source = integer_ids(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    levels = _levels(written(_anchors(source, window), "anchors"))
-    placed = written(_segments(source, window, levels, SHARDS * shuffle_partitions(docs.sparkSession)), "segments")
-    distinct = placed.where("shard IS NOT NULL").select("shard", "fp", "words", "c")
+    anchors, shards = written(_anchors(source, window), "anchors"), SHARDS * shuffle_partitions(docs.sparkSession)
+    total = anchors.agg(F.sum("c")).first()[0] or 0
+    placed = written(_segments(source, window, _levels(anchors), shards, max(FREQUENT, total / shards / 2)), "segments")
+    distinct = placed.where("shard IS NOT NULL").select("shard", "route", "fp", "words", "c")
     found = written(distinct.groupBy("shard").applyInPandas(_searched(window), "fp binary, repeated binary"), "repeated")
     places = placed.where("start IS NOT NULL").select("doc_id", "row_key", "start", "fp")
     return source, places.join(found, "fp").select("doc_id", "row_key", "start", "repeated")
