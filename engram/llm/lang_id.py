@@ -33,7 +33,7 @@ from engram.llm.common import documents, integer_ids
 SAMPLE, WORDS, GRAMS, MAX_N, LANGUAGES = 2000, 10_000, 10_000, 5, 200
 #: An unseen word counts this much of a known one; what a language lacks has this count.
 UNSEEN, LACKING = 0.5, 0.5
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 LETTER = regex.compile(r"\p{L}")
 LETTERS = regex.compile(r"[\p{L}\p{M}'’]+")
 
@@ -96,47 +96,75 @@ class Model:
                     table[row, k] = x / total[k]
             self.index.append({piece: row for row, piece in enumerate(found)})
             self.logs.append(np.log(table))
+        #: All tables in one, and where each n begins in it.
+        self.table = np.concatenate([np.zeros((1, len(languages))), *self.logs])
+        self.begin = np.cumsum([1, *map(len, self.logs)]).tolist()
         self._known: dict[str, int] = {}
-        self._rows = np.zeros((1024, len(languages)))
+        self._rows = np.zeros((1, len(languages)))
 
-    def word(self, w: str) -> np.ndarray:
+    def word(self, w: str) -> list[int]:
+        """The rows of the table whose mean is a word's score: its own, or those of its longest known n-grams."""
         known = self.index[0].get(w)
         if known is not None:
-            return self.logs[0][known]
-        for n in range(MAX_N, 0, -1):
-            index = self.index[n]
-            hits = [index[g] for g in grams(w, n) if g in index]
+            return [self.begin[0] + known]
+        padded = f"_{w}_"
+        for n in range(min(MAX_N, len(padded)), 0, -1):
+            index, begin = self.index[n], self.begin[n]
+            hits = [begin + index[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in index]
             if hits:
-                return UNSEEN * self.logs[n][hits].sum(axis=0) / len(hits)
-        return np.zeros(len(self.languages))
-
-    def token(self, token: str) -> int:
-        """The row of a token's scores, remembered within a bound."""
-        row = len(self._known)
-        if row >= REMEMBERED:
-            self._known.clear()
-            row = 0
-        if row >= len(self._rows):
-            self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
-        self._rows[row] = sum((self.word(w) for w in pieces(token)), np.zeros(len(self.languages)))
-        self._known[token] = row
-        return row
+                return hits
+        return []
+
+    def _learn(self, tokens: set[str]) -> None:
+        """Scores of tokens not known yet, all of them in one pass over the table."""
+        rows, weights, sizes, known = [], [], [], self.begin[1]
+        for t in tokens:
+            size = 0
+            for w in [t.lower()] if t.isalpha() else pieces(t):
+                hits = self.word(w)
+                if hits:
+                    rows += hits
+                    weights += [(1.0 if hits[0] < known else UNSEEN) / len(hits)] * len(hits)
+                    size += len(hits)
+            if not size:
+                rows.append(0)
+                weights.append(0.0)
+                size = 1
+            sizes.append(size)
+        ends = np.cumsum(sizes)
+        scores = np.add.reduceat(self.table[rows] * np.array(weights)[:, None], ends - sizes, axis=0)
+        first = len(self._rows)
+        self._known.update(zip(tokens, range(first, first + len(sizes)), strict=True))
+        self._rows = np.concatenate([self._rows, scores])
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        usable = [k for k, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
+        if not usable:
+            return out
+        cut = [texts[k].split() for k in usable]
+        found: set[str] = set()
+        for tokens in cut:
+            found.update(tokens)
+        missing = found - self._known.keys()
+        if missing and len(self._known) + len(missing) > REMEMBERED:
+            self._known, self._rows, missing = {}, self._rows[:1], found
+        if missing:
+            self._learn(missing)
+        row = self._known.__getitem__
+        flat = np.fromiter((r for tokens in cut for r in map(row, tokens)), dtype=np.int64)
+        sizes = np.array([len(tokens) for tokens in cut])
+        sums = np.add.reduceat(self._rows[flat], np.cumsum(sizes) - sizes, axis=0)
+        best = np.where(np.any(sums != 0, axis=1), np.argmax(sums, axis=1), self.common)
+        share = np.exp(sums - sums.max(axis=1, keepdims=True))
+        score = share[np.arange(len(best)), best] / share.sum(axis=1)
+        for k, lang, x in zip(usable, best.tolist(), score.tolist(), strict=True):
+            out[k] = (self.languages[lang], x)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
-            return "und", 0.0
-        sums = np.zeros(len(self.languages))
-        tokens = text.split()
-        for at in range(0, len(tokens), 4096):
-            part = tokens[at : at + 4096]
-            if len(self._known) + len(part) > REMEMBERED:
-                self._known.clear()
-            known = self._known
-            rows = [known[t] if t in known else self.token(t) for t in part]
-            sums += self._rows[rows].sum(axis=0)
-        best = int(np.argmax(sums)) if sums.any() else self.common
-        share = np.exp(sums - sums.max())
-        return self.languages[best], float(share[best] / share.sum())
+        return self.predict_all([text])[0]
 
 
 def train(docs: DataFrame, labelled: Column) -> bytes:
@@ -182,8 +210,8 @@ def predict(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _loaded(shared.value)
         for whole in batches:
-            for b in parts(whole):
-                found = [known.predict(t) for t in b.column(1).to_pylist()]
+            for b in parts(whole, 1024):
+                found = known.predict_all(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return integer_ids(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -197,8 +225,8 @@ def keep_identified(docs: DataFrame, model: bytes, least: float = 0.5) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _loaded(shared.value)
         for whole in batches:
-            for b in parts(whole):
-                found = [known.predict(t) for t in b.column(at).to_pylist()]
+            for b in parts(whole, 1024):
+                found = known.predict_all(b.column(at).to_pylist())
                 yield b.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
