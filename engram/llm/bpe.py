@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm.common import documents, integer_ids
+from engram.llm.common import claim, documents, integer_ids
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the pattern of pre-tokens of this family of vocabularies.
@@ -41,7 +41,7 @@ DOUBLE = re.compile(r" (?=\s)| \Z")
 CUT = re.compile(r"(?= \S)")
 #: A pre-token of letters alone, the common case.
 LETTERS = regex.compile(r" ?\p{L}+")
-KNOWN, LONGEST = 250_000, 48
+KNOWN, LONGEST = 150_000, 48
 NEVER = 1 << 60
 
 
@@ -145,7 +145,7 @@ class Bpe:
             ids = known.get(p)
             if ids is None:
                 ids = self.encode_piece(p.encode())
-                if len(p) <= LONGEST and len(known) < 2 * KNOWN:
+                if len(p) <= LONGEST and len(known) < KNOWN:
                     known[p] = ids
             out.extend(ids)
         return tuple(out)
@@ -188,6 +188,7 @@ _loaded: dict[str, Bpe] = {}
 
 def loaded(text: str) -> Bpe:
     """One vocabulary for each Python worker."""
+    claim("bpe", _forget)
     key = hashlib.sha256(text.encode()).hexdigest()
     if key not in _loaded:
         _loaded.clear()
@@ -198,6 +199,11 @@ def loaded(text: str) -> Bpe:
 _ids_memory: dict[int, Memory] = {}
 
 
+def _forget() -> None:
+    _loaded.clear()
+    _ids_memory.clear()
+
+
 def _packed(bpe: Bpe) -> Memory:
     """Unit -> its ids as 32-bit integers."""
     if id(bpe) not in _ids_memory:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,5 +70,19 @@ def bucket_of(key: Column, n: int) -> Column:
 
 
 def integer_ids(df: DataFrame, column: str) -> DataFrame:
-    """The id column as long, whatever integer type it came in."""
+    """The id column as long, whatever integer type it came in; what Python then gets of df comes in small batches, as a text can
+    be long."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2048), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        if not 0 < int(re.sub(r"\D", "", df.sparkSession.conf.get(key)) or 0) <= most:
+            df.sparkSession.conf.set(key, str(most))
     return df.withColumn(column, F.col(column).cast("long"))
+
+
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """A Python worker keeps what one operator remembers: an operator that begins in it clears the others'."""
+    for name in [n for n in _memories if n != owner]:
+        _memories.pop(name)()
+    _memories[owner] = clear

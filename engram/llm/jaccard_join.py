@@ -43,7 +43,7 @@ WORDS, THRESHOLD = 5, Fraction(4, 5)
 PROFILE, BLOCK = 64, 4096
 #: The only things broadcast: a table of counts of a byte for each of at most 2^LEVEL_BITS cells (16 cells for each item counted,
 #: as far as that goes), and a filter of wanted documents of 2^FILTER_BITS bits.
-LEVEL_BITS, FILTER_BITS = 26, 24
+LEVEL_BITS, FILTER_BITS = 25, 24
 #: Cost of a row, and of one comparison in a list's scan; the most items of which subsets are taken.
 ROW, SCAN, MOST_ITEMS = 1.0, 0.02, 24
 OUTSIDE = 255

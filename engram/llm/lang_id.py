@@ -28,12 +28,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engram.llm.bpe import parts
-from engram.llm.common import documents, integer_ids
+from engram.llm.common import claim, documents, integer_ids
 
 SAMPLE, WORDS, GRAMS, MAX_N, LANGUAGES = 2000, 10_000, 10_000, 5, 200
 #: An unseen word counts this much of a known one; what a language lacks has this count.
 UNSEEN, LACKING = 0.5, 0.5
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 LETTER = regex.compile(r"\p{L}")
 LETTERS = regex.compile(r"[\p{L}\p{M}'’]+")
 
@@ -196,6 +196,7 @@ _models: dict[int, Model] = {}
 
 def _loaded(model: bytes) -> Model:
     """One model for each Python worker."""
+    claim("lang_id", _models.clear)
     key = hash(model)
     if key not in _models:
         _models.clear()
@@ -210,7 +211,7 @@ def predict(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _loaded(shared.value)
         for whole in batches:
-            for b in parts(whole, 1024):
+            for b in parts(whole):
                 found = known.predict_all(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -220,12 +221,13 @@ def predict(docs: DataFrame, model: bytes) -> DataFrame:
 def keep_identified(docs: DataFrame, model: bytes, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is not `und` and scores at least ``least``, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    integer_ids(docs, "doc_id")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _loaded(shared.value)
         for whole in batches:
-            for b in parts(whole, 1024):
+            for b in parts(whole):
                 found = known.predict_all(b.column(at).to_pylist())
                 yield b.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 

@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-REMEMBERED = 250_000
+from engram.llm.common import claim
+
+REMEMBERED = 150_000
 
 
 class WordHashes(dict):
@@ -74,6 +76,7 @@ def shingle_set(data: bytes | None, n: int) -> np.ndarray:
 
 def texts(batch: pa.RecordBatch, column: int, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of a batch and their texts as UTF-8."""
+    claim("words", _words.clear)
     for at in range(0, batch.num_rows, rows):
         part = batch.slice(at, rows)
         yield part, part.column(column).cast(pa.binary()).to_pylist()
