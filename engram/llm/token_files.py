@@ -28,21 +28,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from engram.llm.bpe import KNOWN, LONGEST, parts, tokenizer_path, units, vocabulary_text
-from engram.llm.common import delete, documents, integer_ids, shared_dir, shuffle_partitions, written
+from engram.llm.bpe import LONGEST, parts, tokenizer_path, units, vocabulary_text
+from engram.llm.common import claim, delete, documents, integer_ids, shared_dir, shuffle_partitions, written
 
 MAX_BITS = 20
 STEP = 128
 #: A block takes documents up to this many ids, or one longer document.
 BLOCK_IDS = 1 << 17
 PIECE = 1 << 15
+#: Words remembered before their generation becomes the older one.
+KNOWN = 250_000
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each unit (bpe.units) while it is remembered.
+    """The tokenizers library, asked once for each word while that is remembered.
 
-    Texts are cut where pre-tokens always end; units not remembered are joined to texts and encoded in one call, and
-    the ids are dealt out by their byte lengths.
+    A text is cut where its pre-tokens always end, before a blank that a non-blank follows. Words not remembered are joined to
+    texts, encoded in one call, and the ids are dealt out by their byte lengths. Two bounded generations of words are kept.
     """
 
     def __init__(self, vocabulary: str):
@@ -52,50 +54,72 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memory: dict[str, bytes] = {}
         n = self.tokenizer.get_vocab_size()
         special = self.tokenizer.get_added_tokens_decoder()
         self.sizes = np.array([len(special[i].content.encode() if i in special else self.tokenizer.id_to_token(i)) for i in range(n)])
-
-    def _learn(self, missing: list[str], into: dict[str, bytes]) -> None:
-        joined, alone = [], []
-        for u in missing:
-            (joined if u[0] == " " and len(u) > 1 and not u[1].isspace() else alone).append(u)
-        for u, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            into[u] = np.array(e.ids, "<i4").tobytes()
-        lengths = np.array([len(u.encode()) for u in joined], dtype=np.int64)
-        ends = np.cumsum(lengths)
-        cuts = [*np.searchsorted(ends, np.arange(PIECE, ends[-1], PIECE)).tolist(), len(joined)] if len(joined) else []
-        texts = ["".join(joined[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
-        ids = [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.concatenate([np.empty(0, "<i4"), *ids])
-        at = np.searchsorted(np.cumsum(self.sizes[flat]), ends) + 1
-        if len(flat) and not (np.cumsum(self.sizes[flat])[at - 1] == ends).all():
-            raise ValueError("a token crosses a unit's end")
-        whole, bounds = flat.tobytes(), [0, *(at * 4).tolist()]
-        for k, u in enumerate(joined):
-            into[u] = whole[bounds[k] : bounds[k + 1]]
+        self.type = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        #: A word after a blank -> its ids, with the blank's; and the generation before.
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words after a blank; the words neither begin nor end blank."""
+        ends = np.cumsum([len(w.encode()) + 1 for w in words], dtype=np.int64)
+        cuts = [*np.searchsorted(ends, np.arange(PIECE, ends[-1], PIECE)).tolist(), len(words)] if words else []
+        texts = [" " + " ".join(words[a:b]) for a, b in zip([0, *cuts], cuts, strict=False) if b > a]
+        ids = [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.empty(0, self.type), *ids])
+        reached = np.cumsum(self.sizes[flat])
+        at = np.searchsorted(reached, ends) + 1
+        if len(flat) and not (reached[at - 1] == ends).all():
+            raise ValueError("a token crosses a word's end")
+        whole, bounds = flat.tobytes(), [0, *(at * self.type.itemsize).tolist()]
+        return {w: whole[a:b] for w, a, b in zip(words, bounds, bounds[1:], strict=False)}
+
+    def _resolve(self, unknown: set[str]) -> None:
+        """Put the ids of words that are not remembered into self.words."""
+        open_ended = {w for w in unknown if w[-1].isspace()}
+        self.words.update((w, self._alone(" " + w)) for w in open_ended)
+        self.words.update(self._learn(list(unknown - open_ended)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as 32-bit integers."""
-        cut = [units(t) if t else [] for t in texts]
-        memory = self.memory
-        missing = {u for c in cut for u in c if u not in memory}
-        if len(memory) + len(missing) > KNOWN:
-            memory.clear()
-            missing = {u for c in cut for u in c}
-        long = [u for u in missing if len(u) > LONGEST]
-        self._learn(list(missing), memory)
-        out = [b"".join([memory[u] for u in c]) for c in cut]
-        for u in long:
-            del memory[u]
+        """The ids of each text, as integers of self.type."""
+        cut = [text.split(" ") if text else [""] for text in texts]
+        found: set[str] = set()
+        for words in cut:
+            found.update(words[1:])
+        missing = found - self.words.keys()
+        again = list(missing & self.older.keys())
+        self.words.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        unknown = missing.difference(again)
+        odd = {w for w in unknown if not w or w[0].isspace()}  # of texts with blanks in a row
+        self._resolve(unknown - odd)
+        ids = self.words.__getitem__
+        out = []
+        for text, words in zip(texts, cut, strict=True):
+            first = words[0]
+            if first and first[-1].isspace() and len(words) > 1 or odd and not odd.isdisjoint(words[1:]):
+                out.append(b"".join([self._alone(u) for u in units(text)]))
+            else:
+                words[0] = self._first(first)
+                words[1:] = map(ids, words[1:])
+                out.append(b"".join(words))
+        if len(self.words) > KNOWN:
+            self.older, self.words = {w: x for w, x in self.words.items() if len(w) <= LONGEST}, {}
         return out
 
+    def _first(self, word: str) -> bytes:
+        return self._alone(word) if word else b""
+
 
 _encoder: dict[int, LibraryEncoder] = {}
 
 
 def _library(vocabulary: str) -> LibraryEncoder:
+    claim("token_files", _encoder.clear)
     key = hash(vocabulary)
     if key not in _encoder:
         _encoder.clear()
@@ -180,24 +204,25 @@ class Decoder:
 _BLOCKS = "block_id string, shard int, doc_ids array<long>, lengths array<int>, checkpoints binary, bits binary, bits_crc long"
 
 
-def _packer(lengths: np.ndarray):
+def _packer(lengths: np.ndarray, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, task = canonical_codes(lengths), TaskContext.get()
+        kind = np.dtype(f"<u{width}")
         schema = pa.schema([("block_id", pa.string()), ("shard", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("checkpoints", pa.binary()), ("bits", pa.binary()), ("bits_crc", pa.int64())])
         made = 0
 
         def block(rows: list) -> pa.RecordBatch:
             nonlocal made
-            ids = np.frombuffer(b"".join(r[2] for r in rows), "<u4")
+            ids = np.frombuffer(b"".join(r[2] for r in rows), kind)
             bits, checkpoints, _ = pack(ids, codes, lengths)
             made += 1
-            row = {"block_id": f"{task.partitionId():06d}-{made:06d}", "shard": rows[0][0], "doc_ids": [r[1] for r in rows], "lengths": [len(r[2]) // 4 for r in rows], "checkpoints": checkpoints.tobytes(), "bits": bits, "bits_crc": zlib.crc32(bits)}
+            row = {"block_id": f"{task.partitionId():06d}-{made:06d}", "shard": rows[0][0], "doc_ids": [r[1] for r in rows], "lengths": [len(r[2]) // width for r in rows], "checkpoints": checkpoints.tobytes(), "bits": bits, "bits_crc": zlib.crc32(bits)}
             return pa.RecordBatch.from_pylist([row], schema)
 
         rows, held = [], 0
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = len(row[2]) // 4
+                n = len(row[2]) // width
                 if rows and (held + n > BLOCK_IDS or rows[0][0] != row[0]):
                     yield block(rows)
                     rows, held = [], 0
@@ -210,7 +235,7 @@ def _packer(lengths: np.ndarray):
 
 
 def _ids(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(shard, doc_id, ids as 32-bit integers): shards are doc_id ranges, sorted within."""
+    """(shard, doc_id, ids as little-endian integers): shards are doc_id ranges, sorted within."""
     spark = docs.sparkSession
     source = integer_ids(docs.select("doc_id", "text"), "doc_id")
     n = shuffle_partitions(spark)
@@ -218,12 +243,12 @@ def _ids(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     above = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
     shard = F.coalesce(F.size(F.filter(above, lambda b: b < F.col("doc_id"))), F.lit(0)).cast("int")
     shared = spark.sparkContext.broadcast(vocabulary)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _library(shared.value)
+        end = np.array([end_id], encoder.type).tobytes()
         for b in batches:
-            for rows in parts(b):
+            for rows in parts(b, 2048):
                 ids = [x + end for x in encoder.encode(rows.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
 
@@ -231,16 +256,14 @@ def _ids(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return written(ids.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")), "ids")
 
 
-def _counts(ids: DataFrame, size: int) -> np.ndarray:
+def _counts(ids: DataFrame, size: int, width: int) -> np.ndarray:
     """How often each id occurs in all documents; at most one number for each id of the vocabulary comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, dtype=np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                counts += np.bincount(np.frombuffer(x, "<u4"), minlength=size) if len(x) > 1 << 18 else 0
-            small = b"".join(x for x in b.column(0).to_pylist() if len(x) <= 1 << 18)
-            counts += np.bincount(np.frombuffer(small, "<u4"), minlength=size)
+            for rows in parts(b):  # the values of a slice lie next to one another
+                counts += np.bincount(np.frombuffer(b"".join(rows.column(0).to_pylist()), f"<u{width}"), minlength=size)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["id", "n"])
 
@@ -254,10 +277,11 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     """Encode the texts with the tokenizers library and write them, in ascending doc_id order, under folder."""
     spark = docs.sparkSession
     ids = _ids(docs, vocabulary, end_id)
-    size = max(_library(vocabulary).tokenizer.get_vocab_size(), end_id + 1)
-    lengths = code_lengths(_counts(ids, size))
+    encoder = _library(vocabulary)
+    size, width = max(encoder.tokenizer.get_vocab_size(), end_id + 1), encoder.type.itemsize
+    lengths = code_lengths(_counts(ids, size, width))
     spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths) if n] or [(end_id, 1)], "id int, bits int").coalesce(1).write.parquet(f"{folder}/lengths")
-    ids.select("shard", "doc_id", "ids").mapInArrow(_packer(lengths), _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    ids.select("shard", "doc_id", "ids").mapInArrow(_packer(lengths, width), _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     delete(spark, ids)
     blocks = spark.read.parquet(f"{folder}/blocks").select(
         "block_id", "shard", F.array_min("doc_ids").alias("low"), F.array_max("doc_ids").alias("high"), "bits_crc", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")
