@@ -1,8 +1,10 @@
 """Exact nearest neighbours by cosine, query blocks against blocks of the bank.
 
 Neither side is broadcast: queries and bank rows are packed into blocks, each query block meets each bank block once, and a
-block pair gives its best k rows of each query. A matrix product finds them; their similarity is then computed row by row in
-double precision, so it does not depend on the blocking. A window merges the blocks' best.
+block pair gives its best k rows of each query. A matrix product finds all rows that may be among them: those at or above the
+k-th best product less a margin for rounding, however many tie there. Their similarity is then computed row by row in
+double precision, so it does not depend on the blocking, and ties are ordered by id. Of equal vectors in a block only the k
+smallest ids are kept, as no other can be among the best k. A window merges the blocks' best.
 """
 
 from __future__ import annotations
@@ -16,18 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERIES, ROWS, SLACK = 1024, 8192, 16
+QUERIES, ROWS = 1024, 8192
 _PACKED = "block long, ids binary, vectors binary, dim int"
 
 
-def _packed(rows: DataFrame, id_col: str, vector: str, size: int) -> DataFrame:
-    """Vectors of one length; (bank id as long) with their rows in blocks of about ``size``."""
+def _packed(rows: DataFrame, id_col: str, vector: str, size: int, copies: int | None = None) -> DataFrame:
+    """Vectors of one length; (bank id as long) with their rows in blocks of about ``size``; of equal vectors in a block the
+    ``copies`` smallest ids, or all."""
     n = rows.count()
     blocks = max(1, -(-n // size))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", kind="stable")
         x = np.array(frame["v"].tolist(), dtype=np.float64)
+        if copies is not None:
+            first = (pd.Series(0, index=[v.tobytes() for v in x]).groupby(level=0).cumcount() < copies).to_numpy()
+            frame, x = frame[first], x[first]
         return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "ids": [frame["id"].to_numpy("<i8").tobytes()], "vectors": [x.tobytes()], "dim": [x.shape[1]]})
 
     keyed = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
@@ -38,7 +44,7 @@ def knn(queries: DataFrame, bank: DataFrame, k: int, query_id: str = "query_id",
     """(query_id, vec_id, sim, rank): for each query its k most similar rows of the bank, ties to the smaller id. A zero vector is
     similar to everything by 0; a bank smaller than k is returned whole."""
     q = _packed(queries, query_id, vector, QUERIES).select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    b = _packed(bank, bank_id, vector, ROWS)
+    b = _packed(bank, bank_id, vector, ROWS, k)
     keys = b.select("dim", "block")
     visits = q.join(keys, "dim").join(b, ["dim", "block"])
 
@@ -49,11 +55,13 @@ def knn(queries: DataFrame, bank: DataFrame, k: int, query_id: str = "query_id",
                 x = np.frombuffer(row["q_vectors"], "<f8").reshape(len(qid), -1)
                 y = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1)
                 xn, yn = (np.sqrt(np.einsum("ij,ij->i", z, z)) for z in (x, y))
-                most = min(len(ids), k + SLACK)
                 near = (x @ y.T) / np.where(yn > 0, yn, 1.0)
-                best = np.argpartition(-near, most - 1, axis=1)[:, :most] if most < len(ids) else np.tile(np.arange(len(ids)), (len(qid), 1))
+                near[~(xn > 0)] = 0.0
+                near[:, ~(yn > 0)] = 0.0
+                least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k] if k < len(ids) else np.full(len(qid), -np.inf)
+                least -= 4 * (x.shape[1] + 4) * np.finfo(np.float64).eps * xn  # above what both ways of summing can differ by
                 for i in range(len(qid)):
-                    c = best[i]
+                    c = np.flatnonzero(~(near[i] < least[i]))
                     length = xn[i] * yn[c]
                     sim = np.where(length > 0, np.einsum("ij,j->i", y[c], x[i]) / np.where(length > 0, length, 1.0), 0.0)
                     top = np.lexsort((ids[c], -sim))[:k]
