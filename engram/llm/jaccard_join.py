@@ -129,14 +129,15 @@ def _blocks(fp: bytes, level: int) -> list[int]:
     return [1 + min(mine, k) * m + max(mine, k) for k in range(m)]
 
 
-_POSTINGS = "doc_id long, fp binary, n int, profile binary, key long, block int"
+_POSTINGS = "doc_id long, row long, fp binary, n int, profile binary, key long, block int"
 
 
 def _postings(source: DataFrame, n: int, t: Fraction, levels: np.ndarray, light: int) -> DataFrame:
-    """A row for each document (key null), and the listings of each class that a task meets."""
+    """A row for each document (key null), and the listings of each class that a task meets. ``row`` is a hash of the text: null
+    ids, and ids used again, have one too."""
     shared = source.sparkSession.sparkContext.broadcast(levels)
     least = least_light(t)
-    names, types = ["doc_id", "fp", "n", "profile", "key", "block"], [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
+    names, types = ["doc_id", "row", "fp", "n", "profile", "key", "block"], [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
 
     def listings(items: np.ndarray, fp: bytes, table: np.ndarray) -> Iterator[tuple[int, int]]:
         size = len(items)
@@ -160,18 +161,18 @@ def _postings(source: DataFrame, n: int, t: Fraction, levels: np.ndarray, light:
         for b in batches:
             for part, data in texts(b, 1):
                 rows = []
-                for doc, x in zip(part.column(0).to_pylist(), data, strict=True):
+                for doc, row, x in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), data, strict=True):
                     items = shingle_set(x, n)
                     if not len(items):
-                        rows.append((doc, None, 0, None, None, None))
+                        rows.append((doc, row, None, 0, None, None, None))
                         continue
                     fp = xxhash.xxh3_128_digest(items.tobytes())
-                    rows.append((doc, fp, len(items), None, None, None))
+                    rows.append((doc, row, fp, len(items), None, None, None))
                     if fp not in seen:
                         seen.add(fp)
                         cells = np.bincount((items % np.uint64(8 * PROFILE)).astype(np.int64), minlength=8 * PROFILE)
                         profile = np.packbits(cells & 1).tobytes()
-                        rows += [(None, fp, len(items), profile, key, block) for key, block in listings(items, fp, table)]
+                        rows += [(None, None, fp, len(items), profile, key, block) for key, block in listings(items, fp, table)]
                 columns = zip(*rows, strict=True) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
 
@@ -243,71 +244,73 @@ def _scan(lists: DataFrame, t: Fraction, light: int, labelled: bool) -> DataFram
     return lists.mapInArrow(run, "key long, block int, a binary, b binary")
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over (id), as words of 64 bits."""
-    h = F.xxhash64("id")
-    bits = ids.select(F.explode(F.array(F.shiftrightunsigned(h, 64 - FILTER_BITS), h.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))).alias("bit"))
+def _filter(rows: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over (row), hashes already, as words of 32 bits."""
+    h = F.col("row")
+    bits = rows.select(F.explode(F.array(F.shiftrightunsigned(h, 64 - FILTER_BITS), h.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))).alias("bit"))
     words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
     table = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
-    rows = words.toArrow()  # at most 2^(FILTER_BITS - 5) rows
-    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
+    found = words.toArrow()  # at most 2^(FILTER_BITS - 5) rows
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     return table
 
 
 def _sets(source: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(fp, items) of the classes in wanted (fp, rep): made again from the text of their document."""
-    shared = source.sparkSession.sparkContext.broadcast(_filter(wanted.select(F.col("rep").alias("id"))))
-    hashed = source.select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    """(fp, items) of the classes in wanted (fp, row): made again from the text of that row."""
+    shared = source.sparkSession.sparkContext.broadcast(_filter(wanted.select("row")))
+    hashed = source.select("row", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for b in batches:
-            h = b.column(1).to_numpy().view(np.uint64)
+            h = b.column(0).to_numpy().view(np.uint64)
             ok = np.ones(len(h), dtype=bool)
             for bit in (h >> np.uint64(64 - FILTER_BITS), h & np.uint64((1 << FILTER_BITS) - 1)):
                 ok &= (table[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
-            for part, data in texts(b.filter(pa.array(ok)), 2):
+            for part, data in texts(b.filter(pa.array(ok)), 1):
                 sets = [shingle_set(x, n) for x in data]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "fp", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["row", "fp", "items"])
 
-    found = hashed.mapInArrow(run, "rep long, fp binary, items binary")
-    return written(found.join(wanted, ["rep", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "items"), "sets")
+    found = hashed.mapInArrow(run, "row long, fp binary, items binary")
+    return written(found.join(wanted, ["row", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "items"), "sets")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b, ok) of the pairs, decided on the whole sets."""
+    """(a, b, ok) of the pairs, decided on the whole sets; a set that is not there is an error, not a pair less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if x is None or y is None:
+                    raise ValueError("a candidate pair lacks a set")
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both * t.denominator >= (len(x) + len(y) - both) * t.numerator)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     x, y = (sets.select(F.col("fp").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "a_items", "b_items")
+    both = pairs.join(x, "a", "left").join(y, "b", "left").select("a", "b", "a_items", "b_items")
     return written(both.mapInArrow(run, "a binary, b binary, ok boolean"), "verified")
 
 
 def linked(docs: DataFrame, n: int = WORDS, t: Fraction = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
-    source = integer_ids(docs.select("doc_id", "text"), "doc_id")
+    source = integer_ids(docs.select("doc_id", "text"), "doc_id").withColumn("row", F.xxhash64("text"))
     counts = written(_counted(source, n, t), "counts")
     sums = counts.agg(F.sum(F.col("c").cast("double") * F.col("c")), F.sum(F.col("c").cast("double"))).first()
     light = boundary((sums[0] or 0.0) / (sums[1] or 1.0), t)
     rows = written(_postings(source, n, t, _levels(counts), light), "postings")
-    docs_of = rows.where("key IS NULL").select("doc_id", "fp", "n")
+    docs_of = rows.where("key IS NULL").select("doc_id", "row", "fp", "n")
     listed = rows.where("key IS NOT NULL").select("key", "block", "fp", "n", "profile")
-    classes = written(docs_of.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = written(docs_of.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("copies")), "classes")
 
     members = F.collect_list(F.struct("fp", "n", "profile")).alias("members")
     lists = listed.groupBy("key", "block").agg(members).where(F.size("members") > 1)
     candidates = written(_scan(lists, t, light, labelled=False), "candidates")
     pairs = candidates.select("a", "b").distinct()
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    wanted = written(classes.join(ends, "fp", "left_semi").select("fp", "rep"), "wanted")
+    wanted = written(classes.join(ends, "fp", "left_semi").select("fp", "row"), "wanted")
     sets = _sets(source, wanted, n)
     verified = _verify(written(pairs, "pairs"), sets, t)
     links = verified.where("ok").select("a", "b")
