@@ -294,8 +294,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return written(both.mapInArrow(run, "a binary, b binary, ok boolean"), "verified")
 
 
-def linked(docs: DataFrame, n: int = WORDS, t: Fraction = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
+def _joined(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, fp, n) of each row of docs, and (fp, first) of the classes that are linked or have copies: the first row of
+    their component as (no_id, doc_id, row), the smallest doc_id, then the smallest hash; rows without an id last."""
     source = integer_ids(docs.select("doc_id", "text"), "doc_id").withColumn("row", F.xxhash64("text"))
     counts = written(_counted(source, n, t), "counts")
     sums = counts.agg(F.sum(F.col("c").cast("double") * F.col("c")), F.sum(F.col("c").cast("double"))).first()
@@ -303,14 +304,15 @@ def linked(docs: DataFrame, n: int = WORDS, t: Fraction = THRESHOLD) -> DataFram
     rows = written(_postings(source, n, t, _levels(counts), light), "postings")
     docs_of = rows.where("key IS NULL").select("doc_id", "row", "fp", "n")
     listed = rows.where("key IS NOT NULL").select("key", "block", "fp", "n", "profile")
-    classes = written(docs_of.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("copies")), "classes")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    classes = written(docs_of.where("fp IS NOT NULL").groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("copies")), "classes")
 
     members = F.collect_list(F.struct("fp", "n", "profile")).alias("members")
     lists = listed.groupBy("key", "block").agg(members).where(F.size("members") > 1)
     candidates = written(_scan(lists, t, light, labelled=False), "candidates")
     pairs = candidates.select("a", "b").distinct()
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    wanted = written(classes.join(ends, "fp", "left_semi").select("fp", "row"), "wanted")
+    wanted = written(classes.join(ends, "fp", "left_semi").select("fp", "first.row"), "wanted")
     sets = _sets(source, wanted, n)
     verified = _verify(written(pairs, "pairs"), sets, t)
     links = verified.where("ok").select("a", "b")
@@ -327,18 +329,37 @@ def linked(docs: DataFrame, n: int = WORDS, t: Fraction = THRESHOLD) -> DataFram
         links = links.unionByName(_verify(more, sets, t).where("ok").select("a", "b"))
     labels = components(links).select(F.col("node").alias("fp"), "label")
     # A class that is alone and has one document needs no row: its component is its own.
-    named = written(classes.join(labels, "fp", "left").where("label IS NOT NULL OR copies > 1").select("fp", "rep", F.coalesce("label", "fp").alias("label")), "named")
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    component = written(named.join(least, "label").select("fp", "component_id"), "component")
+    named = written(classes.join(labels, "fp", "left").where("label IS NOT NULL OR copies > 1").select("fp", "first", F.coalesce("label", "fp").alias("label")), "named")
+    least = named.groupBy("label").agg(F.min("first").alias("first"))
+    return docs_of, written(named.select("fp", "label").join(least, "label").select("fp", "first"), "component")
+
+
+def linked(docs: DataFrame, n: int = WORDS, t: Fraction = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs."""
+    docs_of, component = _joined(docs, n, t)
     return docs_of.join(component, "fp", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS, t: Fraction = THRESHOLD) -> DataFrame:
-    """The rows of docs but one of each component only, that with the smallest doc_id, with all their columns."""
-    gone = linked(docs, n, t).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of docs but one of each component only, that with the smallest doc_id, with all their columns. A row is known by
+    its doc_id and a hash of its text, so an id that is used again, or none, does not take other rows along. Of rows alike in both
+    one stays; a text without words has no component and always stays."""
+    docs_of, component = _joined(docs, n, t)
+    met = docs_of.join(component, "fp").select("doc_id", "row", "first")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    # Each key once, and whether its rows go or all but one do; a key that stays and is not repeated needs no row.
+    keys = met.groupBy("doc_id", "row").agg(F.min(stays).alias("stays"), F.count("*").alias("rows")).where("NOT stays OR rows > 1")
+    keys = written(keys.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "stays"), "keys")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs["doc_id"].cast("long").alias("_own_id"), F.xxhash64(docs["text"]).alias("_own_row"))
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_row") == F.col("_row"))
+    kept = own.join(keys.where("NOT stays").drop("stays"), same, "left_anti")
+    repeated = keys.where("stays").drop("stays")
+    if repeated.limit(1).count():
+        once = kept.join(repeated, same, "left_semi").groupBy("_own_id", "_own_row").agg(F.first("_doc").alias("_doc"))
+        kept = kept.join(repeated, same, "left_anti").select("_doc").unionByName(once.select("_doc"))
+    return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

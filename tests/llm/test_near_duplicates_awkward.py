@@ -8,8 +8,8 @@ import pytest
 
 from engram.llm import jaccard_join as J
 
-from .helpers import corpus, frame, prose
-from .test_near_duplicates import brute_links
+from .helpers import awkward, corpus, frame, prose
+from .test_near_duplicates import brute_links, shingles
 
 T = Fraction(4, 5)
 
@@ -37,3 +37,40 @@ def test_a_pair_without_its_set_is_an_error(spark):
     sets = spark.createDataFrame([(b"a", b"\0" * 8)], "fp binary, items binary")
     with pytest.raises(Exception, match="lacks a set"):
         J._verify(pairs, sets, T).count()
+
+
+def brute_kept(rows, n, t):
+    """Of each component the row with the smallest id (rows without one last, any of them); texts without words all stay."""
+    label = list(range(len(rows)))
+    sets = [shingles(x, n) for _, x, *_ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both * t.denominator >= (len(sets[i]) + len(sets[j]) - both) * t.numerator:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    groups = {}
+    for k, row in enumerate(rows):
+        groups.setdefault(label[k], []).append(row)
+    return groups.values()
+
+
+@pytest.mark.parametrize("ids", [(900, 901), (None, 901), (None, None)])
+def test_one_row_of_each_component(spark, ids):
+    rng = random.Random(5)
+    a, b, c = (f"{x}{prose(rng, 60)}".split(" ") for x in "abc")
+    rows = awkward(corpus(13, 30)) + hub(ids)
+    rows += [(500, " ".join(a), "en", "s1"), (501, varied(a, 30), "en", "s1"), (501, " ".join(b), "en", "s1")]  # 501 on another text too
+    rows += [(510, " ".join(c), "en", "s1"), (510, varied(c, 30), "en", "s1")]  # near duplicates under one id
+    docs = frame(spark, rows)
+    out = J.one_of_each(docs)
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert out.columns == docs.columns
+    groups = list(brute_kept(rows, 5, T))
+    assert sum(got.values()) == len(groups)
+    for group in groups:
+        left = [r for r in group if got[r[0], r[1]]]
+        assert len({r[:2] for r in left}) == 1
+        known = [i for i, *_ in group if i is not None]
+        assert left[0][0] == (min(known) if known else None)
+    assert got[501, " ".join(b)] == 1 and sum(got[510, x] for x in (" ".join(c), varied(c, 30))) == 1
