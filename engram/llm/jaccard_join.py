@@ -1,7 +1,7 @@
 """Jaccard self-join of documents on word shingles: size-aware, heavy and light.
 
 Documents of equal shingle sets are one class. Shingles have one global order: those of a window of the hash space come
-first, by how many documents have them (counted over all documents), then by hash. Two sets that overlap in at least
+first, by how many documents have them (of all documents; items outside the window are not counted), then by hash. Two sets that overlap in at least
 c = ceil(t * size) share an item among the first size - c + 1 of each, and two items among the first size - c + 2.
 
 * Heavy: a larger set goes into the inverted list of each item of that prefix, and lists are scanned.
@@ -9,7 +9,8 @@ c = ceil(t * size) share an item among the first size - c + 1 of each, and two i
 
 The boundary between them is the size at which the rows of the subsets cost as much as the rows and the expected scans of
 the lists. Sets near the boundary do both, so no pair falls between. An item that one document alone has links nothing and is
-not listed. A list that may be long, by its item's count, is spread over pairs of blocks.
+not listed. A list that may be long, by its item's count, is spread over pairs of blocks; so is a list of an item that was not
+counted, by the number of its members.
 
 Scanning a list compares sizes and profiles (for each of 8 * PROFILE cells whether the number of items in it is odd: two sets
 differ in at least as many items as their profiles in bits), which never rules out a true pair, and emits a spanning forest of
@@ -47,6 +48,8 @@ LEVEL_BITS, FILTER_BITS = 25, 24
 #: Cost of a row, and of one comparison in a list's scan; the most items of which subsets are taken.
 ROW, SCAN, MOST_ITEMS = 1.0, 0.02, 24
 OUTSIDE = 255
+#: The block of a list whose length is not known before its members are counted; no other list has so many blocks.
+OPEN = 1 << 30
 
 
 def window(t: Fraction) -> float:
@@ -121,7 +124,9 @@ def prefix(items: np.ndarray, levels: np.ndarray, t: Fraction, extra: int) -> tu
 
 def _blocks(fp: bytes, level: int) -> list[int]:
     """The pairs of blocks, as single numbers, of a list's member; one block for a list that is short for sure."""
-    most = 2 ** (level / 4) if 0 < level < OUTSIDE else 1
+    if level == OUTSIDE:
+        return [OPEN]
+    most = 2 ** (level / 4) if level > 0 else 1
     m = -(-int(most) // BLOCK)
     if m <= 1:
         return [0]
@@ -179,6 +184,21 @@ def _postings(source: DataFrame, n: int, t: Fraction, levels: np.ndarray, light:
     return source.mapInArrow(run, _POSTINGS)
 
 
+def _split(listed: DataFrame) -> DataFrame:
+    """listed, with the open lists of more than BLOCK members spread over pairs of blocks."""
+    is_open = F.col("block").isin(OPEN, -OPEN - 1)
+    counts = listed.where(is_open).groupBy("key", "block").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK)
+    long = written(counts.select("key", "block", F.ceil(F.col("c") / BLOCK).alias("m")), "long")
+    if not long.limit(1).count():
+        return listed
+    mine = F.pmod(F.xxhash64("fp"), "m")
+    pair = (1 + F.least(mine, "k") * F.col("m") + F.greatest(mine, "k")).cast("int")
+    spread = listed.where(is_open).join(long, ["key", "block"], "left").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("m", F.lit(1)) - 1)))
+    block = F.when(F.col("m").isNull(), F.col("block")).when(F.col("block") < 0, -pair - 1).otherwise(pair)
+    # Written, so that a long list's rows are dealt anew by key and block.
+    return listed.where(~is_open).unionByName(written(spread.withColumn("block", block).select(*listed.columns), "spread"))
+
+
 def _close(size: np.ndarray, profile: np.ndarray, i: int, others: np.ndarray, t: Fraction, above: int) -> np.ndarray:
     """Which others may reach the threshold with i: sizes and profiles allow it, and the light lists do not have the pair, which
     they do if both sizes lie between the least and ``above`` (0 in a light list)."""
@@ -303,7 +323,7 @@ def _joined(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame]
     light = boundary((sums[0] or 0.0) / (sums[1] or 1.0), t)
     rows = written(_postings(source, n, t, _levels(counts), light), "postings")
     docs_of = rows.where("key IS NULL").select("doc_id", "row", "fp", "n")
-    listed = rows.where("key IS NOT NULL").select("key", "block", "fp", "n", "profile")
+    listed = _split(rows.where("key IS NOT NULL").select("key", "block", "fp", "n", "profile"))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = written(docs_of.where("fp IS NOT NULL").groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("copies")), "classes")
 

@@ -4,9 +4,12 @@ import random
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from engram.llm import jaccard_join as J
+from engram.llm.shingles import shingle_set
 
 from .helpers import awkward, corpus, frame, prose
 from .test_near_duplicates import brute_links, shingles
@@ -74,3 +77,24 @@ def test_one_row_of_each_component(spark, ids):
         known = [i for i, *_ in group if i is not None]
         assert left[0][0] == (min(known) if known else None)
     assert got[501, " ".join(b)] == 1 and sum(got[510, x] for x in (" ".join(c), varied(c, 30))) == 1
+
+
+def test_long_lists_of_uncounted_items_are_split(spark, monkeypatch):
+    t = Fraction(1, 2)
+    found = {w: int(shingle_set(w.encode(), 1)[0]) for w in (f"w{i}" for i in range(2500))}
+    outside = sorted((h, w) for w, h in found.items() if not J.in_window(np.array([h], np.uint64), t)[0])
+    common, *others = [w for _, w in outside]
+    rows = [(i, f"{common} {others[2 * i]} {others[2 * i + 1]}", "en", "s1") for i in range(200)]
+    rows += [(200, f"{rows[7][1]} more", "en", "s1")]
+    longest = []
+    scan = J._scan
+
+    def watched(lists, *args, **kwargs):
+        longest.append(lists.agg(F.max(F.size("members"))).first()[0])
+        return scan(lists, *args, **kwargs)
+
+    monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "_scan", watched)
+    got = J.linked(frame(spark, rows), 1, t)
+    assert Counter(tuple(r) for r in got.collect()) == brute_links(rows, 1, t)
+    assert 2 < longest[0] < 60
