@@ -3,7 +3,7 @@
 A page becomes a WARC response record; records lie in archives (by the first hex digits of the id's md5) at running offsets,
 in the order of page_id. A replica is a table of records that names the same archives and offsets. Each record is hashed
 (SHA-256), the records of a byte range of RANGE offsets make a leaf, FANOUT nodes in offset order make a node of
-the next level, up to one root of each archive. The audit compares roots, then only the children of nodes that differ,
+the next level, up to one root of each archive: LEVELS levels, or for all archives as many more as the longest needs. The audit compares roots, then only the children of nodes that differ,
 level by level, and at last the records of the ranges found: altered, missing or extra. All of it is DataFrame
 aggregation and equi-joins; hashes are made once, and no task needs a whole archive.
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from engram.llm.common import integer_ids, written
 
-#: Hex digits that name an archive, bytes of a leaf's range, children of a node, levels above the leaves.
+#: Hex digits that name an archive, bytes of a leaf's range, children of a node, levels above the leaves at least.
 DIGITS, RANGE, FANOUT, LEVELS = 2, 65536, 64, 3
 
 
@@ -59,11 +59,24 @@ def _ordered(order: str, value: str) -> Column:
     return F.sha2(F.array_join(lines, "\n"), 256)
 
 
-def tree(leaves: DataFrame) -> list[DataFrame]:
-    """(archive, node, hash) of each level, from the ranges to the roots (node 0 of the last level)."""
+def ranges(leaves: DataFrame) -> DataFrame:
+    """(archive, node, hash) of the ranges of RANGE offsets."""
     ranged = leaves.withColumn("node", F.floor(F.col("offset") / RANGE))
-    levels = [written(ranged.groupBy("archive", "node").agg(_ordered("offset", "sha").alias("hash")), "ranges")]
-    for _ in range(LEVELS):
+    return written(ranged.groupBy("archive", "node").agg(_ordered("offset", "sha").alias("hash")), "ranges")
+
+
+def height(*tables: DataFrame) -> int:
+    """The levels above the ranges at which each archive of all tables is a single node; LEVELS at least."""
+    last, out = max(t.agg(F.max("node")).first()[0] or 0 for t in tables), 0
+    while last:
+        last, out = last // FANOUT, out + 1
+    return max(out, LEVELS)
+
+
+def tree(ranged: DataFrame, above: int) -> list[DataFrame]:
+    """(archive, node, hash) of each level, from the ranges to the roots (node 0 of the last level)."""
+    levels = [ranged]
+    for _ in range(above):
         up = levels[-1].withColumn("child", F.col("node")).withColumn("node", F.floor(F.col("node") / FANOUT))
         levels.append(up.groupBy("archive", "node").agg(_ordered("child", "hash").alias("hash")))
     return levels
@@ -82,7 +95,9 @@ def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """(archive, offset, page_id, status, primary_sha256, replica_sha256, primary_root, replica_root) of each record that is
     not the same in both; both inputs are as ``placed`` gives them."""
-    a, b = tree(primary), tree(replica)
+    a, b = ranges(primary), ranges(replica)
+    above = height(a, b)
+    a, b = tree(a, above), tree(b, above)
     wrong = _differing(a[-1], b[-1])
     for x, y in zip(a[-2::-1], b[-2::-1], strict=True):
         parent = F.floor(F.col("node") / FANOUT)
