@@ -10,8 +10,9 @@ Two tokens stay apart unless, at some time of the merging, the piece left of the
 form a pair whose merge comes before either piece is consumed: the pieces are walked back from the whole tokens, undoing
 the later merge first (of equal ranks the right one, as merging goes from left to right).
 
-A text is cut before each blank that a non-blank follows, where pre-tokens always end, so what is encoded once
-can be looked up again: the memory of known pieces is bounded and holds short pieces only.
+Texts are cut into units between pre-tokens (units), so what is encoded once can be looked up again: the memories of units and
+of pre-tokens are bounded and hold short ones only. Ids become decimal digits and bytes by Arrow lookups in the vocabulary, a
+batch at a time.
 
 Null and odd input: a null text counts as empty and has no tokens; special tokens in a text are matched as the library
 does; null doc_ids, repeated rows and an empty table go through row by row; only doc_id and text are read.
@@ -23,7 +24,7 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -32,16 +33,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from engram.llm.common import claim, documents, integer_ids
+from engram.llm.units import Cutter, Memory, by_parts, data_of, joined, offsets, pieces
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the pattern of pre-tokens of this family of vocabularies.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: A blank followed by a blank, where cutting at single blanks needs care.
-DOUBLE = re.compile(r" (?=\s)| \Z")
-CUT = re.compile(r"(?= \S)")
-#: A pre-token of letters alone, the common case.
-LETTERS = regex.compile(r" ?\p{L}+")
-KNOWN, LONGEST = 150_000, 48
+#: Units, and parts of units, remembered in a worker.
+KNOWN, KNOWN_PARTS = 200_000, 500_000
+#: Parts that are one pre-token: a word, or marks.
+WHOLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
 NEVER = 1 << 60
 
 
@@ -84,8 +84,12 @@ class Bpe:
                 self.automaton.add_word(s, (i, len(s)))
         self.automaton.make_automaton()
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._specials = regex.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.cutter = Cutter(list(self.special))
+        self.parts_known = Memory(self.encode_parts, KNOWN_PARTS)
+        self.units_known = Memory(lambda units: by_parts(units, self.parts_known.values), KNOWN)
+        top = max(self.bytes) + 1
+        self.digits = pa.array([f",{i}" for i in range(top)], pa.large_binary())
+        self.raw = pa.array([self.bytes.get(i) for i in range(top)], pa.large_binary())
 
     def _apart(self, a: int, b: int, before: int = NEVER) -> bool:
         """Whether a and b stay apart, by merges of a rank below ``before``."""
@@ -132,63 +136,38 @@ class Bpe:
             end -= size[end]
         return tuple(out[::-1])
 
-    def encode_unit(self, unit: str) -> tuple[int, ...]:
-        """The ids of a stretch of text that begins and ends between pre-tokens."""
-        if any(s in unit for s in self.special):
-            cut = self._specials.split(unit)
-            return tuple(i for p in cut for i in ((self.special[p],) if p in self.special else self._pretokens(p)))
-        return self._pretokens(unit)
-
-    def _pretokens(self, text: str) -> tuple[int, ...]:
-        known, out = self.known, []
-        for p in [text] if LETTERS.fullmatch(text) else PRETOKEN.findall(text):
-            ids = known.get(p)
-            if ids is None:
-                ids = self.encode_piece(p.encode())
-                if len(p) <= LONGEST and len(known) < KNOWN:
-                    known[p] = ids
-            out.extend(ids)
-        return tuple(out)
+    def encode_parts(self, parts: pa.Array) -> pa.Array:
+        """The ids, as 32-bit integers, of stretches of text that begin and end between pre-tokens; a special token is one."""
+        out, encode, whole, special = [], self.encode_piece, WHOLE.fullmatch, self.special
+        for part in parts.to_numpy(zero_copy_only=False).tolist():
+            if whole(part):
+                ids = encode(part.encode())
+            elif part in special:
+                ids = (special[part],)
+            else:
+                ids = [i for p in PRETOKEN.findall(part) for i in encode(p.encode())]
+            out.append(array("i", ids).tobytes())
+        return pa.array(out, pa.large_binary())
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts, and where each text's end."""
+        distinct, codes, ends = self.cutter.batch(texts)
+        data, at = joined(self.units_known.values(distinct), codes, ends)
+        return np.frombuffer(data, "<i4", count=int(at[-1]) // 4 if len(at) else 0), at // 4
 
     def encode(self, text: str) -> list[int]:
-        return [i for u in units(text) for i in self.encode_unit(u)]
+        return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def units(text: str) -> list[str]:
-    """text cut before each blank that a non-blank follows."""
-    if not text:
-        return []
-    if DOUBLE.search(text):
-        return CUT.split(text)
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
-
-
-class Memory(dict):
-    """What ``make`` gives for a unit, remembered for short units up to a bound."""
-
-    def __init__(self, make: Callable[[str], object]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, unit: str) -> object:
-        out = self.make(unit)
-        if len(unit) <= LONGEST:
-            if len(self) >= KNOWN:
-                self.clear()
-            self[unit] = out
-        return out
-
-
 _loaded: dict[str, Bpe] = {}
 
 
 def loaded(text: str) -> Bpe:
     """One vocabulary for each Python worker."""
-    claim("bpe", _forget)
+    claim("bpe", _loaded.clear)
     key = hashlib.sha256(text.encode()).hexdigest()
     if key not in _loaded:
         _loaded.clear()
@@ -196,20 +175,10 @@ def loaded(text: str) -> Bpe:
     return _loaded[key]
 
 
-_ids_memory: dict[int, Memory] = {}
-
-
-def _forget() -> None:
-    _loaded.clear()
-    _ids_memory.clear()
-
-
-def _packed(bpe: Bpe) -> Memory:
-    """Unit -> its ids as 32-bit integers."""
-    if id(bpe) not in _ids_memory:
-        _ids_memory.clear()
-        _ids_memory[id(bpe)] = Memory(lambda u: array("i", bpe.encode_unit(u)).tobytes())
-    return _ids_memory[id(bpe)]
+def looked_up(table: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """(data, at): the table's entries of the ids one after another, and where each begins, with the end of all."""
+    got = table.take(pa.array(ids))
+    return memoryview(data_of(got)), offsets(got)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -217,13 +186,15 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _packed(loaded(shared.value))
+        bpe = loaded(shared.value)
         for b in batches:
-            for rows in parts(b):
-                ids = [np.frombuffer(b"".join([memory[u] for u in units(t)]) if t else b"", "<i4") for t in rows.column(1).to_pylist()]
-                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.concatenate([np.empty(0, "<i4"), *ids])
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
+            flat, ends, total = [np.empty(0, "<i4")], [0], 0
+            for texts, last in pieces(b.column(1).to_pylist()):
+                ids, at = bpe.encode_batch(texts)
+                flat.append(ids)
+                ends += (total + at[np.array(last)]).tolist()
+                total += len(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))], ["doc_id", "ids"])
 
     return integer_ids(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -253,23 +224,29 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(shared.value)
-        memory, digits = _packed(bpe), _digits(bpe)
         for b in batches:
             counts, ids_sha, text_sha = [], [], []
-            for text in b.column(1).to_pylist():
-                ids = np.frombuffer(b"".join([memory[u] for u in units(text)]) if text else b"", "<i4").tolist()
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+            for texts, last in pieces(b.column(1).to_pylist()):
+                ids, ends = bpe.encode_batch(texts)
+                digits, digits_at = looked_up(bpe.digits, ids)
+                raw, raw_at = looked_up(bpe.raw, ids)
+                start = 0
+                for end, done in zip(ends.tolist(), last, strict=True):
+                    comma = not n and end > start  # each id's digits follow a comma, but for a text's first
+                    ids_hash.update(digits[digits_at[start] + comma : digits_at[end]])
+                    text_hash.update(str(raw[raw_at[start] : raw_at[end]], "utf-8", "replace").encode())
+                    n, start = n + end - start, end
+                    if done:
+                        counts.append(n)
+                        ids_sha.append(ids_hash.hexdigest())
+                        text_sha.append(text_hash.hexdigest())
+                        n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names)
 
     return integer_ids(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _digits(bpe: Bpe) -> dict[int, str]:
-    return {i: str(i) for i in bpe.bytes}
-
-
 def vocabulary_text(path: str | None = None) -> str:
     with open(path or tokenizer_path(), encoding="utf-8") as f:
         return f.read()

@@ -23,28 +23,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from engram.llm.bpe import LONGEST, parts, tokenizer_path, units, vocabulary_text
+from engram.llm.bpe import parts, tokenizer_path, vocabulary_text
 from engram.llm.common import claim, delete, documents, integer_ids, shared_dir, shuffle_partitions, written
+from engram.llm.units import BLANK_WORD, WORD, Cutter, Memory, binaries, by_parts, data_of, joined, kinds, offsets, pieces
 
 MAX_BITS = 20
 STEP = 128
 #: A block takes documents up to this many ids, or one longer document.
 BLOCK_IDS = 1 << 17
 PIECE = 1 << 15
-#: Words remembered before their generation becomes the older one.
-KNOWN = 250_000
+#: Units, and parts of units, remembered in a worker.
+KNOWN, KNOWN_PARTS = 200_000, 500_000
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each word while that is remembered.
+    """The tokenizers library, asked once for each unit, or word and marks of a unit, while that is remembered.
 
-    A text is cut where its pre-tokens always end, before a blank that a non-blank follows. Words not remembered are joined to
-    texts, encoded in one call, and the ids are dealt out by their byte lengths. Two bounded generations of words are kept.
+    Parts not remembered are joined to texts in which each stays on its own, encoded in one call, and the ids are dealt out by
+    their byte lengths. A text with a special token is one unit.
     """
 
     def __init__(self, vocabulary: str):
@@ -55,64 +57,67 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         n = self.tokenizer.get_vocab_size()
-        special = self.tokenizer.get_added_tokens_decoder()
-        self.sizes = np.array([len(special[i].content.encode() if i in special else self.tokenizer.id_to_token(i)) for i in range(n)])
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.sizes = np.array([len(added[i].content.encode() if i in added else self.tokenizer.id_to_token(i)) for i in range(n)])
         self.type = np.dtype("<u2" if n <= 1 << 16 else "<u4")
-        #: A word after a blank -> its ids, with the blank's; and the generation before.
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.special = [t.content for t in added.values()]
+        self.cutter = _WholeIfSpecial(self.special)
+        self.parts = Memory(self._learn, KNOWN_PARTS)
+        self.units = Memory(lambda units: by_parts(units, self.parts.values), KNOWN)
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words after a blank; the words neither begin nor end blank."""
-        ends = np.cumsum([len(w.encode()) + 1 for w in words], dtype=np.int64)
-        cuts = [*np.searchsorted(ends, np.arange(PIECE, ends[-1], PIECE)).tolist(), len(words)] if words else []
-        texts = [" " + " ".join(words[a:b]) for a, b in zip([0, *cuts], cuts, strict=False) if b > a]
-        ids = [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.concatenate([np.empty(0, self.type), *ids])
+    def _learn(self, found: pa.Array) -> pa.Array:
+        """The ids of distinct parts: those after a blank in one row, those without blanks at their ends with line ends between
+        them, others alone."""
+        kind = kinds(found)
+        for t in self.special:
+            kind[pc.match_substring(found, t).to_numpy(zero_copy_only=False)] = 0
+        after, bare, rest = (np.flatnonzero(k) for k in (kind == BLANK_WORD, kind == WORD, (kind != BLANK_WORD) & (kind != WORD)))
+        ended = pc.binary_join_element_wise(found.take(pa.array(bare)), *(pa.scalar(x, pa.large_string()) for x in ("\n", "")))
+        alone = pa.array([self._alone(p) for p in found.take(pa.array(rest)).to_pylist()], pa.large_binary())
+        made = pa.concat_arrays([self._dealt(found.take(pa.array(after)), 0), self._dealt(ended, 1), alone])
+        return made.take(pa.array(np.argsort(np.concatenate([after, bare, rest]))))
+
+    def _dealt(self, found: pa.Array, drop: int) -> pa.Array:
+        """The ids of parts that stay on their own when joined, but for the last ``drop`` of each."""
+        if not len(found):
+            return pa.array([], pa.large_binary())
+        ends, data = offsets(found)[1:], data_of(found)
+        cuts = [0, *ends[np.unique(np.searchsorted(ends, np.arange(PIECE, ends[-1], PIECE)))].tolist(), int(ends[-1])]
+        texts = [str(data[a:b], "utf-8") for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        flat = np.concatenate([np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         reached = np.cumsum(self.sizes[flat])
-        at = np.searchsorted(reached, ends) + 1
-        if len(flat) and not (reached[at - 1] == ends).all():
-            raise ValueError("a token crosses a word's end")
-        whole, bounds = flat.tobytes(), [0, *(at * self.type.itemsize).tolist()]
-        return {w: whole[a:b] for w, a, b in zip(words, bounds, bounds[1:], strict=False)}
-
-    def _resolve(self, unknown: set[str]) -> None:
-        """Put the ids of words that are not remembered into self.words."""
-        open_ended = {w for w in unknown if w[-1].isspace()}
-        self.words.update((w, self._alone(" " + w)) for w in open_ended)
-        self.words.update(self._learn(list(unknown - open_ended)))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, as integers of self.type."""
-        cut = [text.split(" ") if text else [""] for text in texts]
-        found: set[str] = set()
-        for words in cut:
-            found.update(words[1:])
-        missing = found - self.words.keys()
-        again = list(missing & self.older.keys())
-        self.words.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        unknown = missing.difference(again)
-        odd = {w for w in unknown if not w or w[0].isspace()}  # of texts with blanks in a row
-        self._resolve(unknown - odd)
-        ids = self.words.__getitem__
-        out = []
-        for text, words in zip(texts, cut, strict=True):
-            first = words[0]
-            if first and first[-1].isspace() and len(words) > 1 or odd and not odd.isdisjoint(words[1:]):
-                out.append(b"".join([self._alone(u) for u in units(text)]))
-            else:
-                words[0] = self._first(first)
-                words[1:] = map(ids, words[1:])
-                out.append(b"".join(words))
-        if len(self.words) > KNOWN:
-            self.older, self.words = {w: x for w, x in self.words.items() if len(w) <= LONGEST}, {}
+        stops = np.searchsorted(reached, ends) + 1
+        if not (reached[stops - 1] == ends).all():
+            raise ValueError("a token crosses the end of a part")
+        if drop:
+            last = np.zeros(len(flat), dtype=bool)
+            last[stops - 1] = True
+            flat, stops = flat[~last], stops - np.arange(1, len(stops) + 1)
+        return binaries(np.concatenate([[0], stops]) * self.type.itemsize, flat.tobytes())
+
+    def encode(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
+        """The ids of each text, as integers of self.type, and ``end`` after them."""
+        out: list[bytes] = []
+        begun: list[bytes] = []
+        for held, last in pieces(texts):
+            distinct, codes, ends = self.cutter.batch(held)
+            data, at = joined(self.units.values(distinct), codes, ends)
+            start = 0
+            for stop, done in zip(at.tolist(), last, strict=True):
+                begun.append(data[start:stop].to_pybytes())
+                start = stop
+                if done:
+                    out.append(b"".join([*begun, end]))
+                    begun = []
         return out
 
-    def _first(self, word: str) -> bytes:
-        return self._alone(word) if word else b""
+
+class _WholeIfSpecial(Cutter):
+    def by_pattern(self, text: str) -> list[str]:
+        return [text] if any(t in text for t in self.special) else super().by_pattern(text)
 
 
 _encoder: dict[int, LibraryEncoder] = {}
@@ -240,8 +245,7 @@ def _ids(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     source = integer_ids(docs.select("doc_id", "text"), "doc_id")
     n = shuffle_partitions(spark)
     bounds = source.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100_000)).first()[0] or []
-    above = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
-    shard = F.coalesce(F.size(F.filter(above, lambda b: b < F.col("doc_id"))), F.lit(0)).cast("int")
+    above = np.array(sorted(set(bounds)), dtype=np.int64)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,11 +253,13 @@ def _ids(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         end = np.array([end_id], encoder.type).tobytes()
         for b in batches:
             for rows in parts(b, 2048):
-                ids = [x + end for x in encoder.encode(rows.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
+                known = rows.column(0).is_valid().to_numpy(zero_copy_only=False)
+                shard = np.where(known, np.searchsorted(above, rows.column(0).fill_null(0).to_numpy()), 0).astype(np.int32)
+                ids = encoder.encode(rows.column(1).to_pylist(), end)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), rows.column(0), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
 
-    ids = source.select(shard.alias("shard"), "doc_id", "text").mapInArrow(run, "shard int, doc_id long, ids binary")
-    return written(ids.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")), "ids")
+    ids = source.mapInArrow(run, "shard int, doc_id long, ids binary").repartitionById(n, "shard")
+    return written(ids.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")), "ids")
 
 
 def _counts(ids: DataFrame, size: int, width: int) -> np.ndarray:
@@ -291,7 +297,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     shards = blocks.groupBy("shard").agg(F.sum("n").alias("shard_n"))
     base = shards.select("shard", F.coalesce(F.sum("shard_n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     starts = blocks.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(base, "shard")
-    starts.select("block_id", (F.col("base") + F.col("before")).alias("start")).coalesce(1).write.parquet(f"{folder}/manifest")
+    starts.select("block_id", (F.col("base") + F.col("before")).alias("start")).write.parquet(f"{folder}/manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str, crc_only: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from engram.llm import bpe as B
 from engram.llm import token_files as TF
+from engram.llm import units as U
 
 from .helpers import awkward, corpus, frame
 
@@ -54,6 +55,39 @@ def test_cached_words_are_the_library_s(vocabulary, library, monkeypatch):
             assert np.frombuffer(ids, encoder.type).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+LINES = ["a", "Bé", " the", "\n", "\n", " ", ",", "'s", "\t", "\r", "<|endoftext|>", U.MARK, "\x85", "\u2028", "7"]
+
+
+def test_batches_of_odd_blanks_and_line_ends_are_the_library_s(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(TF, "KNOWN", 200)
+    monkeypatch.setattr(B, "KNOWN_PARTS", 90)
+    monkeypatch.setattr(B, "KNOWN", 200)
+    rng, bpe, encoder = random.Random(5), B.Bpe(vocabulary), TF.LibraryEncoder(vocabulary)
+    for _ in range(80):
+        texts = ["".join(rng.choices(LINES, k=rng.randint(0, 12))) for _ in range(30)]
+        expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, ends = bpe.encode_batch(texts)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == expected
+        assert [np.frombuffer(x, encoder.type).tolist() for x in encoder.encode(texts)] == expected
+
+
+def test_long_texts_come_in_stretches(vocabulary, library):
+    text = "the of  and\nto in\n\n is " * 200 + "x" * 500 + "  y z\n"
+    parts = list(U.stretches(text, 100))
+    assert "".join(parts) == text and len(parts) > 30
+    bpe = B.Bpe(vocabulary)
+    assert [i for p in parts for i in bpe.encode(p)] == library.encode(text, add_special_tokens=False).ids
+    texts = [None, text, "", "a b", text]
+    back, held = [], ""
+    for pieces, last in U.pieces(texts, 150):
+        for p, done in zip(pieces, last, strict=True):
+            held += p
+            if done:
+                back.append(held)
+                held = ""
+    assert back == [t or "" for t in texts]
+
+
 def test_digests(spark, vocabulary, library):
     rows = awkward(corpus())
     got = B.digests(frame(spark, rows), vocabulary).collect()
