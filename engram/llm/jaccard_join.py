@@ -12,6 +12,8 @@ the lists. Sets near the boundary do both, so no pair falls between. An item tha
 not listed. A list that may be long, by its item's count, is spread over pairs of blocks; so is a list of an item that was not
 counted, by the number of its members.
 
+Listings carry no more than a class's fingerprint; profiles follow to the members of lists that have two classes.
+
 Scanning a list compares sizes and profiles (for each of 8 * PROFILE cells whether the number of items in it is odd: two sets
 differ in at least as many items as their profiles in bits), which never rules out a true pair, and emits a spanning forest of
 what remains, not all pairs. The forest's edges are verified on the full sets. Where an edge
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, integer_ids, written
+from engram.llm.common import delete, documents, integer_ids, release, written
 from engram.llm.components import components
 from engram.llm.shingles import mixed, shingle_set, texts
 
@@ -138,8 +140,8 @@ _POSTINGS = "doc_id long, row long, fp binary, n int, profile binary, key long,
 
 
 def _postings(source: DataFrame, n: int, t: Fraction, levels: np.ndarray, light: int) -> DataFrame:
-    """A row for each document (key null), and the listings of each class that a task meets. ``row`` is a hash of the text: null
-    ids, and ids used again, have one too."""
+    """A row for each document (key and profile null), and for each class that a task meets its profile (key null) and its
+    listings. ``row`` is a hash of the text: null ids, and ids used again, have one too."""
     shared = source.sparkSession.sparkContext.broadcast(levels)
     least = least_light(t)
     names, types = ["doc_id", "row", "fp", "n", "profile", "key", "block"], [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
@@ -177,7 +179,8 @@ def _postings(source: DataFrame, n: int, t: Fraction, levels: np.ndarray, light:
                         seen.add(fp)
                         cells = np.bincount((items % np.uint64(8 * PROFILE)).astype(np.int64), minlength=8 * PROFILE)
                         profile = np.packbits(cells & 1).tobytes()
-                        rows += [(None, None, fp, len(items), profile, key, block) for key, block in listings(items, fp, table)]
+                        rows.append((None, None, fp, len(items), profile, None, None))
+                        rows += [(None, None, fp, None, None, key, block) for key, block in listings(items, fp, table)]
                 columns = zip(*rows, strict=True) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
 
@@ -199,6 +202,13 @@ def _split(listed: DataFrame) -> DataFrame:
     return listed.where(~is_open).unionByName(written(spread.withColumn("block", block).select(*listed.columns), "spread"))
 
 
+def _live(listed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, block, fp, n, profile): the listings of lists with two classes or more."""
+    met = listed.groupBy("key", "block").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    profiles = classes.groupBy("fp").agg(F.first("n").alias("n"), F.first("profile").alias("profile"))
+    return written(met.select("key", "block", F.explode("fps").alias("fp")).join(profiles, "fp").select("key", "block", "fp", "n", "profile"), "listed")
+
+
 def _close(size: np.ndarray, profile: np.ndarray, i: int, others: np.ndarray, t: Fraction, above: int) -> np.ndarray:
     """Which others may reach the threshold with i: sizes and profiles allow it, and the light lists do not have the pair, which
     they do if both sizes lie between the least and ``above`` (0 in a light list)."""
@@ -322,13 +332,17 @@ def _joined(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame]
     sums = counts.agg(F.sum(F.col("c").cast("double") * F.col("c")), F.sum(F.col("c").cast("double"))).first()
     light = boundary((sums[0] or 0.0) / (sums[1] or 1.0), t)
     rows = written(_postings(source, n, t, _levels(counts), light), "postings")
-    docs_of = rows.where("key IS NULL").select("doc_id", "row", "fp", "n")
-    listed = _split(rows.where("key IS NOT NULL").select("key", "block", "fp", "n", "profile"))
+    delete(source.sparkSession, counts)
+    release(source.sparkSession)
+    docs_of = written(rows.where("key IS NULL AND profile IS NULL").select("doc_id", "row", "fp", "n"), "docs")
+    listed = _live(_split(rows.where("key IS NOT NULL").select("key", "block", "fp")), rows.where("key IS NULL AND profile IS NOT NULL"))
+    delete(source.sparkSession, rows)
+    release(source.sparkSession)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = written(docs_of.where("fp IS NOT NULL").groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("copies")), "classes")
 
     members = F.collect_list(F.struct("fp", "n", "profile")).alias("members")
-    lists = listed.groupBy("key", "block").agg(members).where(F.size("members") > 1)
+    lists = listed.groupBy("key", "block").agg(members)
     candidates = written(_scan(lists, t, light, labelled=False), "candidates")
     pairs = candidates.select("a", "b").distinct()
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
