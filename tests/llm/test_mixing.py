@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from engram.llm import mixing as M
 
@@ -34,7 +35,7 @@ def goals(rows):
 def test_taken(spark, block):
     rows = awkward(corpus())
     got = M.taken(frame(spark, rows), block)
-    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "first_slot"]
     again = Counter(tuple(r) for r in M.taken(frame(spark, rows), block).collect())
     found = got.collect()
     assert Counter(tuple(r) for r in found) == again and len(found) == len(rows)
@@ -62,6 +63,83 @@ def test_schedule_is_of_low_discrepancy(spark):
         assert abs(seen[r["source"]] - share * (k + 1)) < 6
 
 
+def schedule(goal, block):
+    """(slot, source, r) by whole-number arithmetic."""
+    quotas = [(r["source"], r["quota"]) for r in sorted(goal, key=lambda r: r["place"])]
+    n, total, made, seen = sum(-(-q // block) for _, q in quotas), sum(q for _, q in quotas), [], Counter()
+    for slot in range(n):
+        u, upto = slot * M.GOLDEN % (1 << M.BITS) / (1 << M.BITS), 0
+        for s, q in quotas:
+            upto += q
+            if (upto - q) / total <= u < upto / total:
+                if seen[s] < -(-q // block):
+                    made.append((slot, s, seen[s]))
+                seen[s] += 1
+    late = [(n + r * len(quotas) + k, s, r) for k, (s, q) in enumerate(quotas) for r in range(seen[s], -(-q // block))]
+    return made + late
+
+
+def test_slots_and_first_slots(spark, monkeypatch):
+    rows = awkward(corpus())
+    docs = frame(spark, rows)
+    goal = M.targets(M.sizes(docs))
+    made = schedule(goal.collect(), 7)
+    assert Counter(tuple(r) for r in M.slots(goal, 7).collect()) == Counter(made) and len({s for s, _, _ in made}) == len(made)
+    pieces = M.blocks(docs, 7).collect()
+    words = Counter()
+    for p in pieces:
+        words[p["slot"]] += p["words"]
+    assert set(words) == {s for s, _, _ in made} and max(words.values()) == 7 and sum(words.values()) == sum(r["quota"] for r in goal.collect())
+    first = {}
+    for p in pieces:
+        first[p["doc_id"]] = min(p["slot"], first.get(p["doc_id"], p["slot"]))
+    got = {}
+    for r in M.taken(docs, 7).collect():
+        assert (r["first_slot"] < 0) == (r["taken"] == 0)
+        if r["taken"]:
+            got[r["doc_id"]] = min(r["first_slot"], got.get(r["doc_id"], r["first_slot"]))
+    assert got == first
+    before = Counter(tuple(r) for r in M.taken(docs, 7).select("doc_id", "taken", "first_slot").collect())
+    monkeypatch.setattr(M, "GOLDEN", M.GOLDEN // 3)
+    after = Counter(tuple(r) for r in M.taken(docs, 7).select("doc_id", "taken", "first_slot").collect())
+    assert before != after and Counter(x[:2] for x in before.elements()) == Counter(x[:2] for x in after.elements())
+
+
+def test_points_of_great_slot_numbers(spark):
+    numbers = [0, 1, 2**32 + 1, 2**40 + 3, 2**62]
+    got = spark.createDataFrame([(i,) for i in numbers], "id long").select("id", M.point(F.col("id")).alias("u")).collect()
+    assert {r["id"]: r["u"] for r in got} == {i: i * M.GOLDEN % (1 << M.BITS) / (1 << M.BITS) for i in numbers}
+
+
+def test_any_stretch_of_the_mix_has_the_targets(spark):
+    rows = corpus(n=200)
+    docs = frame(spark, rows)
+    pieces = sorted(M.blocks(docs, 20).collect(), key=lambda p: p["slot"])
+    goal = {r["source"]: r["quota"] for r in M.targets(M.sizes(docs)).collect()}
+    total, at, seen = sum(goal.values()), 0, Counter()
+    for p in pieces[: len(pieces) * 9 // 10]:
+        at += p["words"]
+        seen[p["source"]] += p["words"]
+        assert all(abs(seen[s] - at * q / total) <= 6 * 20 for s, q in goal.items())
+    # The mix itself: partitions are consecutive stretches of the schedule.
+    first = {r["doc_id"]: r["first_slot"] for r in M.taken(docs, 20).collect()}
+    parts = M.mix(docs, 20).select(F.spark_partition_id().alias("part"), "doc_id", "text").collect()
+    assert len({r["part"] for r in parts}) > 1
+    once = Counter(r["doc_id"] for r in parts)
+    ordered = [first[r["doc_id"]] for r in sorted(parts, key=lambda r: r["part"]) if once[r["doc_id"]] == 1]
+    assert ordered == sorted(ordered)
+
+
+def test_mix_of_rows_that_are_alike(spark):
+    rows = [(1, "a b c d e", "en", "s")] * 3 + [(1, "f g h i j", "en", "s"), (None, "k l", "en", None), (None, "k l", "en", None), (2, "m " * 40, "en", "t")]
+    docs = frame(spark, rows)
+    want = Counter()
+    for r in M.taken(docs).collect():
+        want[r["doc_id"], r["size"]] += r["taken"]
+    mixed = M.mix(docs).collect()
+    assert sum(len(r["text"].split()) for r in mixed) == sum(want.values()) and len({r["text"] for r in mixed}) >= 3
+
+
 def test_mix_repeats_documents(spark):
     rows = corpus()
     docs = frame(spark, rows)
