@@ -2,7 +2,8 @@
 
 The model is counted by Spark over labelled documents: how often each word, and each character n-gram of a padded word,
 occurs in each language. To bound the model, training takes about SAMPLE documents of each language (all of a smaller one;
-a hash of the id decides), and keeps the WORDS most frequent words and GRAMS most frequent n-grams of a language.
+a hash of the id decides), and keeps the WORDS most frequent words and GRAMS most frequent n-grams of a language. Every language
+of the labelled rows is learned, however rare; more than MOST_LANGUAGES of them are an error.
 
 A word known in any language scores by its log frequency in each. An unseen word backs off: the longest n for which any of
 its n-grams is known decides, by the mean log frequency of these n-grams, weighted below a known word. The language with
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -30,10 +32,13 @@ from pyspark.sql import functions as F
 from engram.llm.bpe import parts
 from engram.llm.common import claim, documents, integer_ids
 
-SAMPLE, WORDS, GRAMS, MAX_N, LANGUAGES = 2000, 10_000, 10_000, 5, 200
+SAMPLE, WORDS, GRAMS, MAX_N, MOST_LANGUAGES = 2000, 10_000, 10_000, 5, 5000
 #: An unseen word counts this much of a known one; what a language lacks has this count.
 UNSEEN, LACKING = 0.5, 0.5
-REMEMBERED = 150_000
+#: Scores of tokens kept in a worker: at most so many tokens, and numbers in all.
+REMEMBERED, NUMBERS = 400_000, 20_000_000
+#: Marks around a token that are no part of its words.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTER = regex.compile(r"\p{L}")
 LETTERS = regex.compile(r"[\p{L}\p{M}'’]+")
 
@@ -84,23 +89,32 @@ class Model:
         counts: list[dict[str, dict[int, int]]] = [{} for _ in range(MAX_N + 1)]
         for lang, n, piece, c in rows:
             counts[n].setdefault(piece, {})[lang] = c
-        #: By n: the row of each piece, and the rows.
+        #: By n: the row of each piece. A row is sparse: what each language that has the piece scores above the floor of n.
         self.index: list[dict[str, int]] = []
-        self.logs: list[np.ndarray] = []
+        begin, columns, above, floors, counts_of = 1, [], [], [np.zeros(1)], [np.zeros(1, np.int64)]
+        self.begin = [begin]
         for n, found in enumerate(counts):
             total = np.array([max(totals.get((k, n), 0), 1.0) for k in range(len(languages))])
             # One floor for all languages, so that one with few training words gains nothing by what it lacks.
-            table = np.full((len(found), len(languages)), LACKING / total.max(initial=1.0))
-            for row, by in enumerate(found.values()):
-                for k, x in by.items():
-                    table[row, k] = x / total[k]
+            floor = np.log(LACKING / total.max(initial=1.0))
             self.index.append({piece: row for row, piece in enumerate(found)})
-            self.logs.append(np.log(table))
-        #: All tables in one, and where each n begins in it.
-        self.table = np.concatenate([np.zeros((1, len(languages))), *self.logs])
-        self.begin = np.cumsum([1, *map(len, self.logs)]).tolist()
+            columns += [k for by in found.values() for k in by]
+            above += [x for by in found.values() for x in np.log(np.array(list(by.values())) / total[list(by)]) - floor]
+            floors.append(np.full(len(found), floor))
+            counts_of.append(np.array([len(by) for by in found.values()], dtype=np.int64))
+            begin += len(found)
+            self.begin.append(begin)
+        #: All rows: where each ends, which languages it has, what they score above its floor.
+        self.ends = np.cumsum(np.concatenate(counts_of))
+        self.columns, self.above, self.floors = np.array(columns, dtype=np.int64), np.array(above, dtype=np.float64), np.concatenate(floors)
+        self.remembered = max(1, min(REMEMBERED, NUMBERS // max(1, len(languages))))
+        self.forget()
+
+    def forget(self) -> None:
+        """Tokens and words with the rows of their scores; row 0 is a token without a word."""
         self._known: dict[str, int] = {}
-        self._rows = np.zeros((1, len(languages)))
+        self._words: dict[str, int] = {}
+        self._rows = np.zeros((1, len(self.languages)))
 
     def word(self, w: str) -> list[int]:
         """The rows of the table whose mean is a word's score: its own, or those of its longest known n-grams."""
@@ -116,26 +130,59 @@ class Model:
         return []
 
     def _learn(self, tokens: set[str]) -> None:
-        """Scores of tokens not known yet, all of them in one pass over the table."""
-        rows, weights, sizes, known = [], [], [], self.begin[1]
-        for t in tokens:
-            size = 0
-            for w in [t.lower()] if t.isalpha() else pieces(t):
-                hits = self.word(w)
-                if hits:
-                    rows += hits
-                    weights += [(1.0 if hits[0] < known else UNSEEN) / len(hits)] * len(hits)
-                    size += len(hits)
-            if not size:
-                rows.append(0)
-                weights.append(0.0)
-                size = 1
-            sizes.append(size)
-        ends = np.cumsum(sizes)
-        scores = np.add.reduceat(self.table[rows] * np.array(weights)[:, None], ends - sizes, axis=0)
-        first = len(self._rows)
-        self._known.update(zip(tokens, range(first, first + len(sizes)), strict=True))
-        self._rows = np.concatenate([self._rows, scores])
+        """Scores of tokens not known yet: those of their words, each of which is scored once."""
+        words = {t: [w.lower()] if (w := t.strip(MARKS)).isalpha() else pieces(t) for t in tokens}
+        new = list({w for own in words.values() for w in own} - self._words.keys())
+        hits = [self.word(w) for w in new]
+        self._words.update(zip(new, range(len(self._rows), len(self._rows) + len(new)), strict=True))
+        weights = [(1.0 if found[0] < self.begin[1] else UNSEEN) / len(found) if found else 0.0 for found in hits]
+        self._rows = np.concatenate([self._rows, self._scores(hits, weights)])
+        several = [t for t, own in words.items() if len(own) > 1]
+        self._known.update((t, self._words[own[0]] if own else 0) for t, own in words.items() if len(own) < 2)
+        if several:
+            sizes = [len(words[t]) for t in several]
+            sums = np.add.reduceat(self._rows[[self._words[w] for t in several for w in words[t]]], np.cumsum(sizes) - sizes, axis=0)
+            self._known.update(zip(several, range(len(self._rows), len(self._rows) + len(several)), strict=True))
+            self._rows = np.concatenate([self._rows, sums])
+
+    def _scores(self, hits: list[list[int]], weights: list[float]) -> np.ndarray:
+        """For each list of table rows their sum times its weight."""
+        width, sizes = len(self.languages), np.array(list(map(len, hits)), dtype=np.int64)
+        hit, owner = np.array([h for found in hits for h in found], dtype=np.int64), np.repeat(np.arange(len(hits)), sizes)
+        weight = np.repeat(np.array(weights, dtype=np.float64), sizes)
+        has = self.ends[hit] - self.ends[hit - 1]
+        at = np.arange(has.sum()) + np.repeat(self.ends[hit] - np.cumsum(has), has)
+        key = np.repeat(owner, has) * width + self.columns[at]
+        above = np.bincount(key, weights=np.repeat(weight, has) * self.above[at], minlength=len(hits) * width).reshape(-1, width)
+        return above + np.bincount(owner, weights=weight * self.floors[hit], minlength=len(hits))[:, None]
+
+    def _rows_of(self, tokens: list[str]) -> np.ndarray:
+        """The rows of scores of distinct tokens; they hold until the next call."""
+        at = list(map(self._known.get, tokens))
+        missing = {t for t, row in zip(tokens, at, strict=True) if row is None}
+        if missing:
+            if len(self._known) + len(missing) > self.remembered:
+                self.forget()
+                missing = set(tokens)
+            self._learn(missing)
+            at = list(map(self._known.__getitem__, tokens))
+        return np.array(at, dtype=np.int64)
+
+    def _sums(self, texts: list[str]) -> np.ndarray:
+        """The scores of each text: the sums of its tokens', by languages. Distinct tokens are told apart for all texts at once, and as
+        many of them looked up together as are remembered."""
+        cut = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        coded, doc = cut.values.dictionary_encode(), np.repeat(np.arange(len(texts)), cut.value_lengths().to_numpy())
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        sums, most = np.zeros((len(texts), len(self.languages))), max(1, NUMBERS // max(1, len(self.languages)))
+        for low in range(0, len(distinct), self.remembered):
+            rows = self._rows_of(distinct[low : low + self.remembered])
+            own = np.flatnonzero((codes >= low) & (codes < low + self.remembered)) if len(distinct) > self.remembered else np.arange(len(codes))
+            for k in range(0, len(own), most):
+                part = own[k : k + most]
+                first = np.flatnonzero(np.diff(doc[part], prepend=-1))
+                sums[doc[part[first]]] += np.add.reduceat(self._rows[rows[codes[part] - low]], first, axis=0)
+        return sums
 
     def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text."""
@@ -143,19 +190,7 @@ class Model:
         usable = [k for k, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
         if not usable:
             return out
-        cut = [texts[k].split() for k in usable]
-        found: set[str] = set()
-        for tokens in cut:
-            found.update(tokens)
-        missing = found - self._known.keys()
-        if missing and len(self._known) + len(missing) > REMEMBERED:
-            self._known, self._rows, missing = {}, self._rows[:1], found
-        if missing:
-            self._learn(missing)
-        row = self._known.__getitem__
-        flat = np.fromiter((r for tokens in cut for r in map(row, tokens)), dtype=np.int64)
-        sizes = np.array([len(tokens) for tokens in cut])
-        sums = np.add.reduceat(self._rows[flat], np.cumsum(sizes) - sizes, axis=0)
+        sums = self._sums([texts[k] for k in usable])
         best = np.where(np.any(sums != 0, axis=1), np.argmax(sums, axis=1), self.common)
         share = np.exp(sums - sums.max(axis=1, keepdims=True))
         score = share[np.arange(len(best)), best] / share.sum(axis=1)
@@ -170,21 +205,24 @@ class Model:
 def train(docs: DataFrame, labelled: Column) -> bytes:
     """The pickled model; only rows where ``labelled`` holds and lang is not null are learned from."""
     rows = docs.select("doc_id", "lang", "text").where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # bounded by LANGUAGES
+    spark = docs.sparkSession
+    per_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(per_lang) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(r["lang"] for r in per_lang)
     n_docs = {r["lang"]: r["n"] for r in per_lang}
     if not languages:
         return pickle.dumps(Model([], [], [], {}))
-    share = F.create_map(*[x for r in per_lang for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE / r["n"])))])
+    share = spark.createDataFrame([(r["lang"], min(1.0, SAMPLE / r["n"])) for r in per_lang], "lang string, share double")
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(lot < F.try_element_at(share, F.col("lang"))).select("lang", "text")
+    sample = rows.join(F.broadcast(share), "lang").where(lot < F.col("share")).select("lang", "text")  # at most MOST_LANGUAGES rows
     counts = sample.mapInArrow(_count, "lang string, n int, piece string, c long").groupBy("lang", "n", "piece").agg(F.sum("c").alias("c"))
     best = W.partitionBy("lang", "n").orderBy(F.desc("c"), "piece")
     whole = W.partitionBy("lang", "n")
     top = counts.withColumn("total", F.sum("c").over(whole)).withColumn("k", F.row_number().over(best)).where(F.col("k") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS))
     code = {lang: k for k, lang in enumerate(languages)}
     found, totals = [], {}
-    rows = top.select("lang", "n", "piece", "c", "total").toArrow()  # at most LANGUAGES * (WORDS + MAX_N * GRAMS)
+    rows = top.select("lang", "n", "piece", "c", "total").toArrow()  # at most WORDS + MAX_N * GRAMS a language
     for lang, n, piece, c, total in sorted(zip(*(x.to_pylist() for x in rows.columns), strict=True)):
         found.append((code[lang], n, piece, c))
         totals[code[lang], n] = total
@@ -211,7 +249,7 @@ def predict(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _loaded(shared.value)
         for whole in batches:
-            for b in parts(whole):
+            for b in parts(whole, 2048):
                 found = known.predict_all(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -227,7 +265,7 @@ def keep_identified(docs: DataFrame, model: bytes, least: float = 0.5) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _loaded(shared.value)
         for whole in batches:
-            for b in parts(whole):
+            for b in parts(whole, 2048):
                 found = known.predict_all(b.column(at).to_pylist())
                 yield b.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 

@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,6 +58,73 @@ def test_backoff_takes_the_longest_known_grams():
     assert model.predict("ppp") == ("a", 0.5)
 
 
+def brute_model(rows, words, grams):
+    """Counts of words and n-grams of all rows by language, the most frequent kept, from the definition."""
+    counts = {}
+    for lang, text in rows:
+        for w in (w for t in (text or "").split() for w in re.findall(r"(?:[^\W\d_]|['’])+", t.lower()) if any(c.isalpha() for c in w)):
+            for n in range(6):
+                own = counts.setdefault((lang, n), Counter())
+                own.update([w] if not n else [f"_{w}_"[i : i + n] for i in range(len(w) + 3 - n)])
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    kept = {k: dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: grams if k[1] else words]) for k, c in counts.items()}
+    return kept, total
+
+
+def brute_predict(text, languages, common, kept, total):
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    sums = dict.fromkeys(languages, 0.0)
+
+    def score(lang, n, piece):
+        floor = 0.5 / max(total.get((x, n), 1) for x in languages)
+        return math.log(kept[lang, n][piece] / total[lang, n] if piece in kept.get((lang, n), {}) else floor)
+
+    for w in (w for t in text.split() for w in re.findall(r"(?:[^\W\d_]|['’])+", t.lower()) if any(c.isalpha() for c in w)):
+        known = [(0, w, 1.0)] if any(w in kept.get((x, 0), {}) for x in languages) else []
+        for n in range(min(5, len(w) + 2), 0, -1):
+            if known:
+                break
+            found = [g for g in (f"_{w}_"[i : i + n] for i in range(len(w) + 3 - n)) if any(g in kept.get((x, n), {}) for x in languages)]
+            known = [(n, g, 0.5 / len(found)) for g in found]
+        for lang in languages:
+            sums[lang] += sum(weight * score(lang, n, piece) for n, piece, weight in known)
+    best = max(languages, key=lambda x: sums[x]) if any(sums.values()) else common
+    return best, math.exp(sums[best] - max(sums.values())) / sum(math.exp(s - max(sums.values())) for s in sums.values())
+
+
+def test_predictions_are_those_of_a_brute_force_model(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "WORDS", 12)
+    monkeypatch.setattr(lang_id, "GRAMS", 15)
+    rows = awkward([(i, t, lang if t else "fr", s) for i, t, lang, s in labelled()] + [(1000 + i, t, lang, s) for i, t, lang, s in corpus()])
+    taught = [(lang, t) for i, t, lang, _ in rows if lang is not None and t is not None and not (i is not None and zlib.crc32(str(i).encode()) % 5 == 0)]
+    kept, total = brute_model(taught, 12, 15)
+    languages = sorted({lang for lang, _ in taught})
+    common = max(languages, key=lambda x: (sum(lang == x for lang, _ in taught), -languages.index(x)))
+    docs = frame(spark, rows)
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["lang_pred"], round(r["score"], 6)) for r in lang_id.predict(docs, lang_id.train(docs, ~lang_id.held_out())).collect())
+    want = sorted((i is not None, i or 0, lang, round(score, 6)) for i, t, *_ in rows for lang, score in [brute_predict(t, languages, common, kept, total)])
+    assert got == want
+
+
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join(letters[i % 26] * 2 + letters[i // 26] * 3 + x for x in "pqr"), f"l{i:03d}", "s") for i in range(260)]
+    docs = frame(spark, rows)
+    model = lang_id.train(docs, F.lit(True))
+    assert {r["doc_id"]: r["lang_pred"] for r in lang_id.predict(docs, model).collect()} == {i: lang for i, _, lang, _ in rows}
+
+
+def test_a_long_text_and_small_memories(monkeypatch):
+    model = lang_id.Model(["a", "b"], [1, 1], [(0, 0, "x", 5), (1, 0, "y", 5), (0, 1, "z", 1)], {(0, 0): 5, (1, 0): 5, (0, 1): 1})
+    texts = ["x y z1 z2 q " * 300 + " ".join(f"y{i}" for i in range(500)), "x", "y y", None, "7"]
+    want = model.predict_all(texts)
+    model.remembered = 7
+    model.forget()
+    got = model.predict_all(texts)
+    assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1] for x in got], [x[1] for x in want])
+
+
 def luhn(digits):
     total = 0
     for k, c in enumerate(digits[::-1]):
