@@ -8,8 +8,8 @@ block meets each shard once, a beam search per query finds its nodes, which are
 precision; the shards' best are merged per query.
 
 Null and odd input: vectors that are null, empty, zero or hold a null or non-finite component take no part; vectors of
-different lengths never meet; ties go to the smaller id; rows repeated with one id count once; fewer than K candidates
-are all returned; an empty table gives an empty result. Only vec_id and embedding are read.
+different lengths never meet; ties go to the smaller id; rows repeated with one id count once, with the least of their
+vectors; fewer than K candidates are all returned; an empty table gives an empty result. Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
@@ -108,8 +108,6 @@ def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     used = np.zeros(n, dtype=np.int64)
     middle = x.mean(axis=0)
     medoid = int(np.argmin(np.einsum("ij,ij->i", x - middle, x - middle)))
-    if n <= SEARCH:
-        return graph, np.arange(n)
     order = rng.permutation(n)
     size, at = 16, 0
     start = np.array([medoid])
@@ -138,7 +136,25 @@ def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         again = prune(x, j, graph[j, : used[j]])
         graph[j], used[j] = -1, len(again)
         graph[j, : len(again)] = again
-    return graph[:, :DEGREE], start
+    return graph[:, :DEGREE], _starts(graph[:, :DEGREE], medoid)
+
+
+def _starts(graph: np.ndarray, first: int) -> np.ndarray:
+    """first, and a node for each part of the graph that no walk from those before it enters: with them a search can reach every node."""
+    met, out, at = np.zeros(len(graph) + 1, dtype=bool), [], first
+    met[-1] = True  # stands for the padding, -1
+    while True:
+        out.append(at)
+        met[at] = True
+        front = np.array([at])
+        while len(front):
+            front = np.unique(graph[front])
+            front = front[~met[front]]
+            met[front] = True
+        left = np.flatnonzero(~met)
+        if not len(left):
+            return np.array(out)
+        at = int(left[0])
 
 
 def _vectors(frame: pd.DataFrame) -> np.ndarray:
@@ -164,7 +180,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v as array<double>, dim): one row for each id of a vector that takes part."""
     v = integer_ids(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id")
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(finite & F.exists("v", lambda c: c != 0)).dropDuplicates(["vec_id"]).withColumn("dim", F.size("v"))
+    return v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(finite & F.exists("v", lambda c: c != 0)).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
 
 def build_index(vectors: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:

@@ -244,6 +244,28 @@ def test_odd_vectors_ties_and_few_candidates(spark):
     assert ann.search(none, ann.build_index(none)).count() == 0
 
 
+def test_small_shards_have_a_graph_that_reaches_all(spark):
+    for n in (1, 2, 3, 50, 96, 300):
+        graph, start = ann.build(vectors(n).astype(np.float32))
+        assert n < 3 or ((graph >= 0).sum(axis=1) > 0).all()
+        met, front = set(start.tolist()), start.tolist()
+        while front:
+            front = [j for j in {int(j) for i in front for j in graph[i] if j >= 0} - met]
+            met |= set(front)
+        assert met == set(range(n)) and len(start) <= 1 + n // 10
+    x = np.repeat(vectors(2, seed=3), 40, axis=0) + np.random.default_rng(2).normal(size=(80, 16)) * 1e-3  # two far clusters
+    graph, start = ann.build(x.astype(np.float32))
+    assert set(ann.beam_search(x.astype(np.float32), graph, start, x.astype(np.float32), 80)[0][0].tolist()) == set(range(80))
+
+
+def test_one_id_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (7, [5.0, 5.0]), (7, [2.0, 9.0]), (7, [2.0, 8.0]), (9, [1.0, 1.0])]
+    for n in (1, 2, 5):
+        usable = ann.usable(spark.createDataFrame(rows[::-1] if n == 2 else rows, "vec_id long, embedding array<double>").repartition(n))
+        got = ann.search(usable.where("vec_id % 100 = 0"), ann.build_index(usable)).collect()
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(9, 1.0), (7, pytest.approx(65**0.5))]
+
+
 def test_copies_of_one_vector(spark):
     x = vectors(50)
     rows = [(i, x[i % 50 if i < 60 else 0].tolist()) for i in range(400)]
