@@ -3,9 +3,9 @@
 A text's UTF-8 bytes b_0..b_(n-1) have the fingerprint sum(b_i * r^(n-1-i)) mod p for two pairs (p, r).
 Chunks are hashed on their own and combined by length-shifted arithmetic, H(xy) = H(x) * r^|y| + H(y), so
 the chunks of a huge document can be hashed in any order or place. Texts of equal length and fingerprint
-are then compared chunk by chunk: the chunks of one group and position meet in one aggregate, that keeps the
-distinct contents only (map-side first, so copies never pile up in one task). A group of which any position has
-two contents is split by the whole text.
+are then compared chunk by chunk: the chunks of one group and position meet in one aggregate, which keeps their least and
+greatest contents only (map-side first, so copies never pile up in one task). Texts without a partner don't move, but for those
+that a filter of fixed size lets through. A group of which any position has two contents is split by the whole text.
 
 Null and odd input: a null text counts as empty; the empty text is a text like any other, so all empty and
 null texts form one group. Rows repeated with the same doc_id and text count as rows in group_size and get
@@ -20,10 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.common import documents, integer_ids, written
+from engram.llm.filters import may_hold, row_filter
+from engram.llm.shingles import mixed
 
 #: Two primes below 2^31 and the bases; a product with a byte stays below 2^39, a sum over a chunk below 2^55.
 MODULI = ((2147483647, 1103515245), (2147483629, 1664525))
@@ -55,10 +58,10 @@ def combine(left: int, right: int, right_len: int, p: int, r: int) -> int:
     return (left * pow(r, right_len, p) + right) % p
 
 
-def fingerprint(data: bytes) -> int:
+def fingerprint(data: bytes, moduli: tuple[tuple[int, int], ...] = MODULI) -> int:
     """Both hashes in one signed 64-bit integer."""
     parts = []
-    for p, r in MODULI:
+    for p, r in moduli:
         h = 0
         for i in range(0, len(data), CHUNK):
             c = data[i : i + CHUNK]
@@ -67,22 +70,33 @@ def fingerprint(data: bytes) -> int:
     return (parts[0] << 31 | parts[1]) - (1 << 61)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk, with the fingerprint and length of its document."""
-    names, types = ["doc_id", "fp", "n_bytes", "chunk_no", "chunk"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    for b in batches:
-        rows: list[tuple] = []
-        held = 0
-        for doc, data in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            data = data or b""
-            fp = fingerprint(data)
-            for k, at in enumerate(range(0, max(len(data), 1), CHUNK)):
-                rows.append((doc, fp, len(data), k, data[at : at + CHUNK]))
-                held += CHUNK if len(data) > CHUNK else len(data)
-                if held > 8 << 20:
-                    yield _batch(rows, names, types)
-                    rows, held = [], 0
-        yield _batch(rows, names, types)
+def _hash_of(fp: int, n: int) -> np.uint64:
+    return mixed(np.array([fp], dtype=np.int64).view(np.uint64) + np.uint64(n))[0]
+
+
+def _chunks(moduli: tuple[tuple[int, int], ...], wanted: Broadcast):
+    """A row for each chunk of the texts whose fingerprint the filter of wanted ones may hold."""
+    names, types = ["fp", "n_bytes", "chunk_no", "chunk"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = wanted.value
+        for b in batches:
+            rows: list[tuple] = []
+            held = 0
+            for data in b.column(0).cast(pa.binary()).to_pylist():
+                data = data or b""
+                fp, n = fingerprint(data, moduli), len(data)
+                if not may_hold(table, np.array([_hash_of(fp, n)]))[0]:
+                    continue
+                for k, at in enumerate(range(0, n, CHUNK)):
+                    rows.append((fp, n, k, data[at : at + CHUNK]))
+                    held += min(n - at, CHUNK)
+                    if held > 8 << 20:
+                        yield _batch(rows, names, types)
+                        rows, held = [], 0
+            yield _batch(rows, names, types)
+
+    return run
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -90,30 +104,36 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-        arrays = [
-            b.column(0),
-            pa.array([fingerprint(x) for x in data], pa.int64()),
-            pa.array([len(x) for x in data], pa.int64()),
-            pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string()),
-        ]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "n_bytes", "sha"])
+def _digests(moduli: tuple[tuple[int, int], ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
+            arrays = [
+                b.column(0),
+                pa.array([fingerprint(x, moduli) for x in data], pa.int64()),
+                pa.array([len(x) for x in data], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string()),
+            ]
+            row = [int(_hash_of(f, n).view(np.int64)) for f, n in zip(arrays[1].to_pylist(), arrays[2].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(row, pa.int64())], ["doc_id", "fp", "n_bytes", "sha", "row"])
+
+    return run
 
 
-def duplicate_groups(docs: DataFrame) -> DataFrame:
+def duplicate_groups(docs: DataFrame, moduli: tuple[tuple[int, int], ...] = MODULI) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row; see the module's docstring."""
     source = integer_ids(docs.select("doc_id", "text"), "doc_id")
+    digests = written(source.mapInArrow(_digests(moduli), "doc_id long, fp long, n_bytes long, sha string, row long"), "digests")
+    several = digests.groupBy("fp", "n_bytes").agg(F.count("*").alias("c"), F.first("row").alias("row")).where("c > 1")
+    wanted = source.sparkSession.sparkContext.broadcast(row_filter(several))
     suspect = (
-        source.mapInArrow(_chunks, "doc_id long, fp long, n_bytes long, chunk_no int, chunk binary")
+        source.select("text").mapInArrow(_chunks(moduli, wanted), "fp long, n_bytes long, chunk_no int, chunk binary")
         .groupBy("fp", "n_bytes", "chunk_no")
-        .agg(F.size(F.collect_set("chunk")).alias("contents"))
-        .where("contents > 1")
+        .agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest"))
+        .where("least <> greatest")
         .select("fp", "n_bytes", F.lit(True).alias("suspect"))
         .distinct()
     )
-    digests = source.mapInArrow(_digests, "doc_id long, fp long, n_bytes long, sha string")
     # A suspect group falls apart by the digest of the whole text. Both sides of the last join are written
     # tables, so that Spark can split the partition of a hot group.
     keyed = written(

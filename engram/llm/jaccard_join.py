@@ -39,14 +39,15 @@ from pyspark.sql import functions as F
 
 from engram.llm.common import delete, documents, integer_ids, release, written
 from engram.llm.components import components
+from engram.llm.filters import may_hold, row_filter
 from engram.llm.shingles import mixed, shingle_set, texts
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: Bytes of a profile; members of a list that are compared in one place.
 PROFILE, BLOCK = 64, 4096
 #: The only things broadcast: a table of counts of a byte for each of at most 2^LEVEL_BITS cells (16 cells for each item counted,
-#: as far as that goes), and a filter of wanted documents of 2^FILTER_BITS bits.
-LEVEL_BITS, FILTER_BITS = 25, 24
+#: as far as that goes), and a filter of wanted documents (filters).
+LEVEL_BITS = 25
 #: Cost of a row, and of one comparison in a list's scan; the most items of which subsets are taken.
 ROW, SCAN, MOST_ITEMS = 1.0, 0.02, 24
 OUTSIDE = 255
@@ -274,29 +275,15 @@ def _scan(lists: DataFrame, t: Fraction, light: int, labelled: bool) -> DataFram
     return lists.mapInArrow(run, "key long, block int, a binary, b binary")
 
 
-def _filter(rows: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over (row), hashes already, as words of 32 bits."""
-    h = F.col("row")
-    bits = rows.select(F.explode(F.array(F.shiftrightunsigned(h, 64 - FILTER_BITS), h.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
-    table = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
-    found = words.toArrow()  # at most 2^(FILTER_BITS - 5) rows
-    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
-    return table
-
-
 def _sets(source: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(fp, items) of the classes in wanted (fp, row): made again from the text of that row."""
-    shared = source.sparkSession.sparkContext.broadcast(_filter(wanted.select("row")))
+    shared = source.sparkSession.sparkContext.broadcast(row_filter(wanted))
     hashed = source.select("row", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for b in batches:
-            h = b.column(0).to_numpy().view(np.uint64)
-            ok = np.ones(len(h), dtype=bool)
-            for bit in (h >> np.uint64(64 - FILTER_BITS), h & np.uint64((1 << FILTER_BITS) - 1)):
-                ok &= (table[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+            ok = may_hold(table, b.column(0).to_numpy().view(np.uint64))
             for part, data in texts(b.filter(pa.array(ok)), 1):
                 sets = [shingle_set(x, n) for x in data]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["row", "fp", "items"])

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
+
 from engram.llm import exact_dedup as X
 
 from .helpers import awkward, corpus, frame
@@ -43,17 +45,15 @@ def test_groups(spark):
     assert Counter(tuple(r) for r in got.collect()) == brute(rows)
 
 
-def test_collisions_are_split(spark, monkeypatch):
-    # The fingerprint of every text is made the same, and texts of one length then meet.
-    rows = [(1, "aa", "en", "s"), (2, "bb", "en", "s"), (3, "aa", "en", "s"), (4, "c", "en", "s")]
-    found = frame(spark, rows)
-    real = X.MODULI
-    monkeypatch.setattr(X, "MODULI", ((2, 0), (3, 0)))
-    try:
-        got = Counter(tuple(r) for r in X.duplicate_groups(found).collect())
-    finally:
-        monkeypatch.setattr(X, "MODULI", real)
-    assert got == brute(rows)
+def test_collisions_are_split(spark):
+    # Every fingerprint is the same, so all texts of one length meet and are told apart by their chunks.
+    same = ((1, 0), (1, 0))
+    assert X.fingerprint(b"aa", same) == X.fingerprint(b"bb", same)
+    long = "x" * (X.CHUNK + 7)
+    rows = [(1, "aa", "en", "s"), (2, "bb", "en", "s"), (3, "aa", "en", "s"), (4, "c", "en", "s"), (5, long, "en", "s"), (6, long[:-1] + "y", "en", "s"), (7, long, "en", "s"), (8, None, "en", "s"), (9, "", "en", "s")]
+    digests = X._digests(same)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["aa", "bb"])], ["doc_id", "text"])]))
+    assert len(set(next(digests).column(1).to_pylist())) == 1
+    assert Counter(tuple(r) for r in X.duplicate_groups(frame(spark, rows), same).collect()) == brute(rows)
 
 
 def test_deduplicate_keeps_columns_and_one_row_each(spark):
