@@ -1,7 +1,7 @@
 """Merkle fixity audit of WARC archives.
 
 A page becomes a WARC response record; records lie in archives (by the first hex digits of the id's md5) at running offsets,
-in the order of page_id. A replica is a table of records that names the same archives and offsets. Each record is hashed
+in the order of page_id, then of their hash. A replica is a table of records that names the same archives and offsets. Each record is hashed
 (SHA-256), the records of a byte range of RANGE offsets make a leaf, FANOUT nodes in offset order make a node of
 the next level, up to one root of each archive: LEVELS levels, or for all archives as many more as the longest needs. The audit compares roots, then only the children of nodes that differ,
 level by level, and at last the records of the ranges found: altered, missing or extra. All of it is DataFrame
@@ -22,6 +22,8 @@ from engram.llm.common import integer_ids, written
 
 #: Hex digits that name an archive, bytes of a leaf's range, children of a node, levels above the leaves at least.
 DIGITS, RANGE, FANOUT, LEVELS = 2, 65536, 64, 3
+#: Ranges of ids in which offsets are summed up; what stands for a null id there.
+RANGES, NO_ID = 1024, -(1 << 63)
 
 
 def _md5(*parts: Column) -> Column:
@@ -49,8 +51,25 @@ def placed(rows: DataFrame) -> DataFrame:
     hashes move."""
     own = [c for c in rows.columns if c not in ("record", "page_id", "archive", "length")]
     hashed = rows.select("archive", "page_id", "length", F.sha2("record", 256).alias("sha"), *own)
-    order = W.partitionBy("archive").orderBy(F.col("page_id").asc_nulls_first(), "length", "sha").rowsBetween(W.unboundedPreceding, -1)
-    return hashed.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
+    # Running sums in three steps: records of one id and first digit of the hash, these cells of a range of ids, ranges of an archive.
+    # So neither an archive nor the copies of one id are in one task.
+    hashed = written(hashed.withColumn("_id", F.coalesce("page_id", F.lit(NO_ID))).withColumn("_digit", F.substring("sha", 1, 1)), "hashed")
+    low, high = hashed.agg(F.min("page_id"), F.max("page_id")).first()
+    width = ((high or 0) - (low or 0) + 1) / RANGES
+    hashed = hashed.withColumn("_range", F.when(F.col("page_id").isNull(), -1).otherwise(F.floor((F.col("_id") - F.lit(float(low or 0))) / width)).cast("int"))
+    cells = _before(hashed.groupBy("archive", "_range", "_id", "_digit").agg(F.sum("length").alias("n")), "n", ["archive", "_range"], "_id", "_digit")
+    sums = _before(hashed.groupBy("archive", "_range").agg(F.sum("length").alias("n")), "n", ["archive"], "_range")
+    own = _before(hashed, "length", ["archive", "_id", "_digit"], "sha", "length").withColumnRenamed("before", "own")
+    cells = cells.select("archive", "_id", "_digit", F.col("before").alias("cell"))
+    sums = sums.select("archive", "_range", F.col("before").alias("range"))
+    out = own.join(cells, ["archive", "_id", "_digit"]).join(sums, ["archive", "_range"])
+    return out.select(*rows.drop("record").columns, "sha", (F.col("own") + F.col("cell") + F.col("range")).alias("offset"))
+
+
+def _before(rows: DataFrame, value: str, within: list[str], *order: str) -> DataFrame:
+    """rows with ``before``: the sum of the values that come before each in its partition."""
+    before = W.partitionBy(*within).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("before", F.coalesce(F.sum(value).over(before), F.lit(0)))
 
 
 def _ordered(order: str, value: str) -> Column:
@@ -78,7 +97,7 @@ def tree(ranged: DataFrame, above: int) -> list[DataFrame]:
     levels = [ranged]
     for _ in range(above):
         up = levels[-1].withColumn("child", F.col("node")).withColumn("node", F.floor(F.col("node") / FANOUT))
-        levels.append(up.groupBy("archive", "node").agg(_ordered("child", "hash").alias("hash")))
+        levels.append(written(up.groupBy("archive", "node").agg(_ordered("child", "hash").alias("hash")), "level"))
     return levels
 
 
