@@ -1,5 +1,8 @@
 """A compressed FM-index over integer symbols: the Burrows-Wheeler transform on a wavelet matrix.
 
+Beside the bits of the matrix, with a counter for each 64 of them, the index has a bit for each position where suffixes begin that
+share depth - 1 symbols, the places of these, and the weights above 1 with theirs; neither the text nor its suffixes are kept.
+
 Suffixes are sorted by their first ``depth`` symbols, which is enough for patterns up to that length. Searches are made for
 many patterns at once, a step of all of them being one pass over the levels of the matrix.
 """
@@ -9,21 +12,37 @@ from __future__ import annotations
 import numpy as np
 
 
+class Bits:
+    """Bits with ranks: a counter of 32 bits, or 64 for long ones, for each 64 bits."""
+
+    def __init__(self, bit: np.ndarray):
+        n = len(bit)
+        padded = np.zeros((n >> 6) * 64 + 64, dtype=np.uint8)
+        padded[:n] = bit
+        self.words = np.packbits(padded, bitorder="little").view("<u8")
+        before = np.cumsum(np.bitwise_count(self.words), dtype=np.int64) - np.bitwise_count(self.words)
+        self.ones = before.astype(np.int32) if n < 1 << 31 else before
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """The ones before each position."""
+        word = at >> 6
+        return self.ones[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.ones.nbytes
+
+
 class WaveletMatrix:
     """Ranks of symbols in a sequence, a bit of them in each level."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits, self.n = bits, len(symbols)
-        self.words: list[np.ndarray] = []
-        self.ones: list[np.ndarray] = []
+        self.levels: list[Bits] = []
         self.zeros: list[int] = []
         for level in range(bits - 1, -1, -1):
             bit = ((symbols >> level) & 1).astype(bool)
-            padded = np.zeros((self.n >> 6) * 64 + 64, dtype=np.uint8)
-            padded[: self.n] = bit
-            words = np.packbits(padded, bitorder="little").view("<u8")
-            self.words.append(words)
-            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1])
+            self.levels.append(Bits(bit))
             self.zeros.append(self.n - int(bit.sum()))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
         every = np.arange(1 << bits)
@@ -32,9 +51,7 @@ class WaveletMatrix:
 
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, level in enumerate(range(self.bits - 1, -1, -1)):
-            word = at >> 6
-            inside = self.words[k][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-            ones = self.ones[k][word] + np.bitwise_count(inside)
+            ones = self.levels[k].rank(at)
             at = np.where((symbol >> level) & 1, self.zeros[k] + ones, at - ones)
         return at
 
@@ -84,9 +101,25 @@ class FmIndex:
         #: Where the suffixes that share depth - 1 symbols with each begin and end.
         shorter = order[depth - 1][suffixes]
         edges = np.flatnonzero(np.concatenate([[True], np.diff(shorter) != 0, [True]]))
-        sizes = np.diff(edges)
-        self.begin, self.end = np.repeat(edges[:-1], sizes), np.repeat(edges[1:], sizes)
-        self.weights = np.concatenate([[0], np.cumsum(weight[suffixes])])
+        new = np.zeros(self.n, dtype=bool)
+        new[edges[:-1]] = True
+        self.groups, self.edges = Bits(new), edges.astype(np.int32 if self.n < 1 << 31 else np.int64)
+        # Of weights that are all 1 the sum is the length; others are kept as the places of what is above 1, which is rare.
+        extra = weight[suffixes] - 1
+        self.heavy = np.flatnonzero(extra)
+        self.extra = np.concatenate([[0], np.cumsum(extra[self.heavy])])
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (*self.matrix.levels, self.groups, self.edges, self.heavy, self.extra, self.first, self.matrix.start))
+
+    def _widened(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the suffixes that share depth - 1 symbols with those of non-empty intervals."""
+        return self.edges[self.groups.rank(low + 1) - 1].astype(np.int64), self.edges[self.groups.rank(high)].astype(np.int64)
+
+    def _weight(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        a, b = np.searchsorted(self.heavy, low), np.searchsorted(self.heavy, high)
+        return np.maximum(high - low, 0) + self.extra[np.maximum(a, b)] - self.extra[a]
 
     def extend(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the patterns with a symbol put before them."""
@@ -112,12 +145,12 @@ class FmIndex:
             a, b = low[alive], high[alive]
             if step >= self.depth:
                 some = b > a
-                a, b = np.where(some, self.begin[np.minimum(a, self.n - 1)], a), np.where(some, self.end[np.maximum(b - 1, 0)], b)
+                a[some], b[some] = self._widened(a[some], b[some])
             at = ends[alive] - 1 - step
             a, b = self.extend(a, b, flat[at])
             low[alive], high[alive] = a, b
             if step >= self.depth - 1:
-                weights[at] = self.weights[b] - self.weights[a]
+                weights[at] = self._weight(a, b)
         for k in range(len(pieces)):
             start = ends[k] - lengths[k]
             out[k] = weights[start : start + len(out[k])]

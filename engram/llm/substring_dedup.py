@@ -3,10 +3,10 @@
 Windows are routed so that equal ones meet: the anchor of a window is the least hash among its runs of ANCHOR words, and a
 maximal run of windows with one anchor is a segment. Anchors are counted over all documents; a segment whose anchor occurs once
 can hold no repeated window and goes no further. The others go to shards by anchor, each distinct segment once with how often it
-occurs. A shard builds a compressed FM-index (fm_index) of its segments' words, streams them through it by backward search, and
-reports the windows whose matches weigh two or more. If an anchor is too frequent, its segments are cut into single windows that
-are routed by their own hash, so that neither copies nor contexts of a common passage gather in one shard. Words are compared
-as such, not by hashes.
+occurs. A shard builds a compressed FM-index (fm_index) of its segments' words, streams all of them through it by backward search,
+and reports the windows whose matches weigh two or more: a segment weighs as often as it occurs. If an anchor is too frequent, its segments are cut into single windows that
+are routed by their own hash, so that neither copies nor contexts of a common passage gather in one shard. In a shard words are
+compared as such; hashes only route segments and fold equal ones (128 bits of the segment's text).
 
 Null and odd input: a null or blank text has no words; fewer words than a window are kept whole; repeated rows repeat
 each other's windows; texts that repeat within themselves count as well; null doc_ids are documents; an empty table gives an
@@ -172,12 +172,9 @@ def _searched(window: int):
         sizes = np.array([len(p) + 1 for p in pieces])
         text = np.concatenate([x for p in pieces for x in (p, _END)])
         index = FmIndex(text, window, np.repeat(np.array([c for _, c in kept.values()]), sizes))
-        # Of a segment that occurs twice all windows are repeated; the others are searched.
-        twice = [(fp, np.ones(len(p) - window + 1, dtype=bool)) for p, (fp, (_, c)) in zip(pieces, kept.items(), strict=True) if c > 1]
-        once = [(fp, p) for p, (fp, (_, c)) in zip(pieces, kept.items(), strict=True) if c == 1]
-        out = {"fp": [fp for fp, _ in twice], "repeated": [r.tobytes() for _, r in twice]}
-        for at in range(0, len(once), AT_ONCE):
-            part = once[at : at + AT_ONCE]
+        every, out = list(zip(kept, pieces, strict=True)), {"fp": [], "repeated": []}
+        for at in range(0, len(every), AT_ONCE):
+            part = every[at : at + AT_ONCE]
             for (fp, _), weight in zip(part, index.matching([p for _, p in part]), strict=True):
                 if (weight > 1).any():
                     out["fp"].append(fp)
