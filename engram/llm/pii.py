@@ -4,7 +4,8 @@ One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, digits, U
 street addresses. From each anchor a deterministic local parser expands left and right and validates: an email around its
 at-sign, an IP address or card number from the first digit of a run, a phone number from its plus sign (these four are
 the base kinds: leftmost, not overlapping within a kind, failing matches dropped without a retry), and beyond them a URL
-around its scheme, an IBAN or account number after its cue, and a street address around its cue. Each parser starts at or
+around its scheme, an IBAN or account number after its cue, a street address around its cue, and a secret: the value that a
+cue such as token or password assigns, a key of a well-known form, or a private key's header. Each parser starts at or
 after the end of its kind's last match, so the work is linear in the text.
 
 Positions are code points, ends exclusive. Null and odd input: a null text is empty and has no spans; texts of any
@@ -26,7 +27,7 @@ from engram.llm.bpe import parts
 from engram.llm.common import documents, integer_ids
 
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("url", "account", "address")
+EXTRA = ("url", "account", "address", "secret")
 ORDER = {k: i for i, k in enumerate(BASE + EXTRA)}
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = "0123456789"
@@ -37,6 +38,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 REST_OF_URL = re.compile(r"[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?")
 IBAN = re.compile(r"[\s:#.-]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 ACCOUNT = re.compile(r"(?:\s*(?:number|no|nr|num))?[\s:#.=-]{1,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.IGNORECASE)
+#: At most 135 characters, so that no more than STREET_REACH before a cue need be looked at.
+STREET_REACH = 140
 STREET_LEFT = re.compile(r"([0-9]{1,5}[A-Za-z]?(?: [A-Z][A-Za-z.'-]{0,30}){1,4} )\Z")
 STREET_RIGHT = re.compile(r"[ ,]+([0-9]{1,5}[A-Za-z]?)\b")
 SCHEMES = ("http", "https", "ftp")
@@ -45,6 +48,16 @@ ACCOUNT_CUES = ("account", "Account", "acct", "Acct", "konto", "Konto", "compte"
 #: Street words after the number and name, and those that stand before or in them.
 STREET_AFTER = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive")
 STREET_WITHIN = ("straße", "strasse", "Straße")
+#: Names that a secret is assigned to, in lower, upper and title case; what stands between name and value; the value, which
+#: must hold a digit.
+SECRET_CUES = tuple(f(w) for w in ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "private_key") for f in (str.lower, str.upper, str.title))
+SECRET = re.compile(r"[\"']?[ \t]{0,4}(?:=|:)[ \t]{0,4}[\"']?([A-Za-z0-9_./+~=-]{8,})")
+#: Forms of well-known keys, by how they begin.
+KEY_FORMS = {
+    "AKIA": re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    "ghp_": re.compile(r"ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    "-----BEGIN ": re.compile(r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -52,6 +65,7 @@ def _automaton() -> ahocorasick.Automaton:
     for kind, words in (
         ("email", "@"), ("phone", "+"), ("digit", DIGITS), ("url", ("://",)), ("iban", IBAN_CUES),
         ("account", ACCOUNT_CUES), ("after", STREET_AFTER), ("within", STREET_WITHIN),
+        ("secret", SECRET_CUES), ("key", KEY_FORMS),
     ):
         for w in words:
             a.add_word(w, (kind, len(w)))
@@ -129,13 +143,19 @@ def find(text: str) -> list[tuple[int, int, str]]:
         elif cue == "account":
             if (m := ACCOUNT.match(text, last + 1)) and m.start(1) >= after["account"]:
                 keep("account", m.start(1), m.end(1))
+        elif cue == "secret":
+            if (m := SECRET.match(text, last + 1)) and m.start(1) >= after["secret"] and any(c in DIGITS for c in m[1]):
+                keep("secret", m.start(1), m.end(1))
+        elif cue == "key":
+            if at >= after["secret"] and (m := KEY_FORMS[text[at : last + 1]].match(text, at)):
+                keep("secret", at, m.end())
         elif cue == "after":
-            left = max(after["address"], at - 140)
+            left = max(after["address"], at - STREET_REACH)
             if m := STREET_LEFT.search(text[left:at]):
                 keep("address", left + m.start(1), last + 1)
         elif m := STREET_RIGHT.match(text, last + 1):
             start = at
-            while start > max(after["address"], at - 60) and text[start - 1].isalpha():
+            while start > after["address"] and text[start - 1].isalpha():
                 start -= 1
             keep("address", start, m.end(1))
     out.sort(key=lambda s: (s[0], ORDER[s[2]], s[1]))
@@ -152,16 +172,18 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [find(t) if t else [] for t in b.column(1).to_pylist()]
             columns = [pa.array([sum(s[2] == k for s in f) for f in found], pa.int64()) for k in BASE]
             base = [hashlib.sha256(joined([s for s in f if s[2] in BASE]).encode()).hexdigest() for f in found]
+            more = [pa.array([sum(s[2] == "secret" for s in f) for f in found], pa.int64()), pa.array([sum(s[2] != "url" for s in f) for f in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *columns, pa.array(base, pa.string()), pa.array([joined(f) for f in found], pa.string())],
-                ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"],
+                [b.column(0), *columns, pa.array(base, pa.string()), pa.array([joined(f) for f in found], pa.string()), *more],
+                ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_secret", "n_private"],
             )
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_private) for each row; n_private counts all spans
+    but URLs."""
     return integer_ids(docs.select("doc_id", "text"), "doc_id").mapInArrow(
-        _run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+        _run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_private long"
     )
 
 
