@@ -48,6 +48,8 @@ PROFILE, BLOCK = 64, 4096
 #: The only things broadcast: a table of counts of a byte for each of at most 2^LEVEL_BITS cells (16 cells for each item counted,
 #: as far as that goes), and a filter of wanted documents (filters).
 LEVEL_BITS = 25
+#: Classes that a task remembers to list them once.
+SEEN = 1 << 19
 #: Cost of a row, and of one comparison in a list's scan; the most items of which subsets are taken.
 ROW, SCAN, MOST_ITEMS = 1.0, 0.02, 24
 OUTSIDE = 255
@@ -177,6 +179,8 @@ def _postings(source: DataFrame, n: int, t: Fraction, levels: np.ndarray, light:
                     fp = xxhash.xxh3_128_digest(items.tobytes())
                     rows.append((doc, row, fp, len(items), None, None, None))
                     if fp not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()  # a class that is listed twice is one class all the same
                         seen.add(fp)
                         cells = np.bincount((items % np.uint64(8 * PROFILE)).astype(np.int64), minlength=8 * PROFILE)
                         profile = np.packbits(cells & 1).tobytes()
