@@ -40,6 +40,8 @@ TOKENIZER = "byte_bpe_50k.json"
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Units, and parts of units, remembered in a worker.
 KNOWN, KNOWN_PARTS = 200_000, 500_000
+#: Characters of texts that are in work at once.
+AT_ONCE = 1 << 20
 #: Parts that are one pre-token: a word, or marks.
 WHOLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
 NEVER = 1 << 60
@@ -189,7 +191,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
         bpe = loaded(shared.value)
         for b in batches:
             flat, ends, total = [np.empty(0, "<i4")], [0], 0
-            for texts, last in pieces(b.column(1).to_pylist()):
+            for texts, last in pieces(b.column(1).to_pylist(), AT_ONCE):
                 ids, at = bpe.encode_batch(texts)
                 flat.append(ids)
                 ends += (total + at[np.array(last)]).tolist()
@@ -227,7 +229,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
         for b in batches:
             counts, ids_sha, text_sha = [], [], []
             n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-            for texts, last in pieces(b.column(1).to_pylist()):
+            for texts, last in pieces(b.column(1).to_pylist(), AT_ONCE):
                 ids, ends = bpe.encode_batch(texts)
                 digits, digits_at = looked_up(bpe.digits, ids)
                 raw, raw_at = looked_up(bpe.raw, ids)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import re
@@ -9,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +98,20 @@ _memories: dict[str, Callable[[], None]] = {}
 
 
 def claim(owner: str, clear: Callable[[], None]) -> None:
-    """A Python worker keeps what one operator remembers: an operator that begins in it clears the others'."""
-    for name in [n for n in _memories if n != owner]:
+    """A Python worker keeps what one operator remembers: an operator that begins in it clears the others', and the memory they
+    took goes back to the system."""
+    others = [n for n in _memories if n != owner]
+    for name in others:
         _memories.pop(name)()
+    if others:
+        give_back()
     _memories[owner] = clear
+
+
+def give_back() -> None:
+    """Return freed memory of Python, Arrow and the C library to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
