@@ -6,6 +6,8 @@ version, and ``Store`` points readers to the latest whole version.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,6 +113,25 @@ class Store:
         done = [p for p in found if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
         return sorted(int(p.getName()[2:]) for p in done)
 
+    def _taken(self) -> int:
+        """The greatest number in use, by whole versions or by what a failed write left."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        top = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = top.getFileSystem(conf)
+        names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+        return max((int(n[2:]) for n in names if n.startswith("v=")), default=0)
+
+    def mark(self, name: str) -> int | None:
+        """The number last saved under a name, None if there is none."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for v in reversed(self.versions()):
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}")
+            for s in folder.getFileSystem(conf).listStatus(folder):
+                file = s.getPath().getName()
+                if file.startswith(f"_mark-{name}-"):
+                    return int(file.rsplit("-", 1)[1])
+        return None
+
     def load(self) -> DataFrame:
         """The latest version; an empty table if there is none."""
         found = self.versions()
@@ -118,7 +139,17 @@ class Store:
             return self.spark.createDataFrame([], NOTE)
         return self.spark.read.schema(NOTE).parquet(f"{self.path}/v={found[-1]}")
 
-    def save(self, notes: DataFrame) -> DataFrame:
-        found = self.versions()
-        notes.write.parquet(f"{self.path}/v={found[-1] + 1 if found else 1}")
+    def save(self, notes: DataFrame, mark: tuple[str, int] | None = None) -> DataFrame:
+        """Write to a folder of its own, then publish it by renaming; a failed write leaves the numbers as they are, and of two
+        writers the later one fails. mark (name, number) is published with the version."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        number, path = self._taken() + 1, jvm.org.apache.hadoop.fs.Path
+        own = f"{self.path}/_writing-{uuid.uuid4().hex}"
+        notes.write.parquet(own)
+        fs = path(own).getFileSystem(conf)
+        if mark:
+            fs.create(path(own, f"_mark-{mark[0]}-{mark[1]}")).close()
+        # Unlike the file system's own rename, this fails where the target is there.
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+        context.rename(path(own), path(f"{self.path}/v={number}"), self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
         return self.load()

@@ -31,13 +31,15 @@ def ema_stream(rewards: DataFrame, alpha: float = 0.1, q0: float = 0.5) -> DataF
     )
 
 
-def notes_sink(store: Store) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: upserts each batch of notes into the store as a new version; a batch that was saved before is
-    recognised by its number, so a restart does not write it twice."""
+def notes_sink(store: Store, name: str = "notes") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: upserts each batch of notes into the store as a new version; the number of
+    the batch is published with it under the stream's name, so a restart does not write it twice. A stream that begins anew with
+    an empty checkpoint needs a new name."""
 
     def save(batch: DataFrame, number: int) -> None:
-        if number + 1 > len(store.versions()):
+        last = store.mark(name)
+        if last is None or number > last:
             notes = store.load()
-            store.save(upsert(notes, numbered(notes, batch, [batch["ts"], batch["id"]]).select(*notes.columns)))
+            store.save(upsert(notes, numbered(notes, batch, [batch["ts"], batch["id"]]).select(*notes.columns)), (name, number))
 
     return save

@@ -40,7 +40,9 @@ def test_results_round_trip(spark, tmp_path):
     p.write_text(json.dumps({"d/a": {"em": 0.5, "rougeL": 0.25}, "d/b": {"em": 1.0}}, indent=2))
     rows = files.read_results(spark, str(p))
     assert {tuple(r) for r in rows.collect()} == {("d/a", "em", 0.5), ("d/a", "rougeL", 0.25), ("d/b", "em", 1.0)}
-    assert sorted(r["json"] for r in results_json(rows).collect())[0] == '{"d/a":{"em":0.5,"rougeL":0.25}}'
+    assert [r["json"] for r in results_json(rows).collect()] == ['{"d/a":{"em":0.5,"rougeL":0.25},"d/b":{"em":1.0}}']
+    p.write_text(results_json(rows).first()["json"])
+    assert files.read_results(spark, str(p)).count() == 3
 
 
 def test_templates(spark, tmp_path):
@@ -104,3 +106,17 @@ def test_notes_sink_writes_a_batch_once(spark, tmp_path):
     sink(batch, 0)
     sink(batch, 0)
     assert store.versions() == [1] and store.load().columns == NOTE.names
+    other = notes_sink(store, "other")
+    other(batch.withColumn("id", F.lit("n2")), 0)  # batch 0 of a stream over a store that has a version
+    other(batch.withColumn("id", F.lit("n3")), 0)
+    assert sorted(r["id"] for r in store.load().collect()) == ["n1", "n2"]
+
+
+def test_a_failed_save_does_not_lock_the_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "bank"))
+    facts = spark.createDataFrame([("b", "n1", "x", 0)], "bank_id string, id string, content string, write_seq long").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    notes = build_notes(facts)
+    with pytest.raises(Exception):
+        store.save(notes.withColumn("content", F.raise_error(F.lit("no")).cast("string")))
+    (tmp_path / "bank" / "v=1").mkdir(parents=True)  # what an unfinished write under the number itself left
+    assert store.save(notes).count() == 1 and store.versions() == [2]
