@@ -29,7 +29,7 @@ def compute_metrics(rows: DataFrame, metrics: Iterable[str] = METRICS, by: tuple
     scored = rows
     value = {"em": exact(F.col("prediction"), F.col("reference")), "rougeL": lcs_f(F.col("prediction"), F.col("reference"))}
     if "bertscore_f1" in asked:
-        keyed = rows.withColumn("_id", F.sha2(F.concat_ws("\x00", "prediction", "reference"), 256))
+        keyed = rows.withColumn("_id", F.sha2(F.to_json(F.struct("prediction", "reference"), {"ignoreNullFields": "false"}), 256))
         pairs = keyed.select("_id", "prediction", "reference").dropDuplicates(["_id"])
         p, r = (hash_embed(pairs, ["_id"], F.col(c)).withColumnRenamed("embedding", f"_{c}") for c in ("prediction", "reference"))
         near = p.join(r, "_id").select("_id", cosine(F.col("_prediction"), F.col("_reference")).alias("_near"))

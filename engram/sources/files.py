@@ -33,8 +33,9 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """(id, prediction), the last line of an id; a line without id or prediction is an error."""
     from engram.operators.evaluation import last_predictions
 
-    # The offset of a line in its file orders lines however the file is split.
-    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.monotonically_increasing_id().alias("line"))
+    # Files in the order of their paths, then splits by offset; within a split ids rise with the lines.
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(path).select("value", at.alias("line")).where(F.trim("value") != "")
     j = F.from_json("value", "id string, prediction string", {"mode": "FAILFAST"})
     rows = lines.select(j.alias("j"), "line").select(F.col("j.id").alias("id"), F.col("j.prediction").alias("prediction"), "line")
     whole = F.assert_true(F.col("id").isNotNull() & F.col("prediction").isNotNull(), "a prediction needs id and prediction")

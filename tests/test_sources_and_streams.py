@@ -28,6 +28,11 @@ def test_last_prediction_wins(spark, tmp_path):
     p = tmp_path / "p.jsonl"
     p.write_text('{"id": 1, "prediction": "old"}\n{"id": 2, "prediction": "b"}\n{"id": 1, "prediction": "new"}\n')
     assert {r["id"]: r["prediction"] for r in files.read_predictions(spark, str(p)).collect()} == {"1": "new", "2": "b"}
+    several = tmp_path / "several"
+    several.mkdir()
+    (several / "b.jsonl").write_text('{"id": 1, "prediction": "last"}\n')
+    (several / "a.jsonl").write_text('{"id": 1, "prediction": "first"}\n' * 500)  # the larger file, which is read first or alone
+    assert files.read_predictions(spark, str(several)).first()["prediction"] == "last"
     p.write_text('{"id": 1}\n')
     with pytest.raises(Exception):
         files.read_predictions(spark, str(p)).collect()
