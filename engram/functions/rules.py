@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from engram.functions.text import name_in, pet_names, stripped, titled, tokens
+from engram.functions.text import first_tokens, let, name_in, pet_names, stripped, titled, tokens
 
 #: Answers and descriptions of the rules.
 JOB_DESCRIPTION = "User works as a data scientist at a tech company."
@@ -20,14 +20,23 @@ def _strings(*values: str) -> Column:
 
 def note_fields(content: Column) -> Column:
     """struct(keywords, tags, description): the rules for names, dogs and work add up, and the last one describes the note."""
-    text = stripped(content)
-    low = F.lower(text)
-    name, pets = name_in(text), pet_names(text)
-    named = low.contains("name is") & (name != "")
-    dogs = low.contains("dog") | low.contains("buddy") | low.contains("scout")
-    work = low.contains("work") | low.contains("job") | low.contains("scientist")
+    return let(stripped(content), lambda text: let(F.lower(text), lambda low: _fields(text, low)))
+
+
+def _fields(text: Column, low: Column) -> Column:
+    found = F.struct(
+        name_in(text).alias("name"), pet_names(text).alias("pets"), low.contains("name is").alias("named"),
+        (low.contains("dog") | low.contains("buddy") | low.contains("scout")).alias("dogs"),
+        (low.contains("work") | low.contains("job") | low.contains("scientist")).alias("work"),
+        F.array_distinct(first_tokens(low, 4)).alias("first"),
+    )
+    return let(found, lambda x: _described(text, x))
+
+
+def _described(text: Column, found: Column) -> Column:
+    name, pets, dogs, work, first = (found[c] for c in ("name", "pets", "dogs", "work", "first"))
+    named = found["named"] & (name != "")
     nothing = _strings()
-    first = F.array_distinct(F.slice(tokens(text), 1, 4))
     keywords = F.array_distinct(F.concat(
         F.when(named, F.concat(F.array(name), _strings("name", "identity"))).otherwise(nothing),
         F.when(dogs, F.concat(_strings("dog", "pet"), pets)).otherwise(nothing),

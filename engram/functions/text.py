@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 QUESTION = r"(?i)^(what|who|where|when|how|which|do|does|is|are)\b"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once a row, however often body names it: a plain Column would be copied into each
+    place, and with it the passes over the text."""
+    return F.transform(F.array(value), body)[0]
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -22,6 +30,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def first_tokens(low: Column, n: int) -> Column:
+    """The first n tokens of a lower-cased text, which is read as far as they go."""
+    return tokens(F.regexp_extract(low, rf"^(?:[^a-z0-9]*+[a-z0-9]++){{0,{n}}}", 0))
+
+
 def is_query(text: Column) -> Column:
     return text.contains("?") | F.rlike(stripped(text), F.lit(QUESTION))
 
@@ -44,9 +57,8 @@ def name_in(text: Column) -> Column:
 def pet_names(text: Column) -> Column:
     """Words after "named"; without any, those of two known names that occur."""
     named = F.transform(F.regexp_extract_all(text, F.lit(r"named\s+([A-Za-z]+)"), F.lit(1)), F.lower)
-    low = F.lower(text)
-    known = F.filter(F.array(*[F.when(low.contains(n), F.lit(n)) for n in ("buddy", "scout")]), lambda x: x.isNotNull())
-    return F.array_distinct(F.when(F.size(named) > 0, named).otherwise(known))
+    known = let(F.lower(text), lambda low: F.filter(F.array(*[F.when(low.contains(n), F.lit(n)) for n in ("buddy", "scout")]), lambda x: x.isNotNull()))
+    return let(named, lambda found: F.array_distinct(F.when(F.size(found) > 0, found).otherwise(known)))
 
 
 def embedding_text(content: Column, keywords: Column, tags: Column, description: Column) -> Column:

@@ -240,8 +240,39 @@ def last_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"), F.count("*").alias("turns"))
 
 
-@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations QUALIFY place <= 3")
-def first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three turns of each conversation, a limit that is the feature."""
-    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", place.alias("place")).where("place <= 3")
+@query(f"""WITH {NOTES_SQL}, oldest AS (SELECT bank_id, arg_min(id, write_seq) AS oldest FROM notes GROUP BY bank_id),
+writes AS (SELECT n.bank_id, id || '-f' AS own, 'again ' || content AS content, write_seq + 1000 AS write_seq, write_seq % 6 = 2 AS gone,
+  CASE write_seq % 6 WHEN 1 THEN oldest WHEN 2 THEN id WHEN 3 THEN oldest ELSE id || '-f' END AS id FROM notes n JOIN oldest o ON o.bank_id = n.bank_id WHERE write_seq % 6 <> 4),
+last AS (SELECT * FROM writes QUALIFY row_number() OVER (PARTITION BY bank_id, id ORDER BY write_seq DESC) = 1)
+SELECT l.bank_id, l.id, md5(l.content) AS content, round(coalesce(n.utility, 0.5), 6) AS utility, l.write_seq, CASE WHEN n.id IS NULL THEN 0 ELSE 1 END AS n_links
+FROM last l LEFT JOIN notes n ON n.bank_id = l.bank_id AND n.id = l.id WHERE NOT gone
+UNION ALL SELECT bank_id, id, md5(content), round(utility, 6), write_seq, 1 FROM notes ANTI JOIN last USING (bank_id, id)""")
+def write_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that add, update the oldest note, delete, cannot be read, do nothing, and update an unknown note."""
+    notes = text_bank(spark, sf_dir)
+    oldest = F.min_by("id", "write_seq").over(W.partitionBy("bank_id"))
+    said = [F.lit('{"op": "add"}'), F.concat(F.lit('{"op": "Update", "target_id": "'), "oldest", F.lit('"}')), F.concat(F.lit('{"op": "DELETE", "target_id": "'), "id", F.lit('"}')),
+            F.lit("{no object"), F.lit('{"op": "noop"}'), F.lit('{"op": "UPDATE", "target_id": "unknown"}')]
+    replied = notes.withColumn("oldest", oldest).withColumn("reply", F.element_at(F.array(*said), (F.col("write_seq") % 6 + 1).cast("int")))
+    facts = replied.drop("oldest").withColumns({
+        "id": F.concat("id", F.lit("-f")), "content": F.concat(F.lit("again "), "content"), "links": F.array().cast("array<string>"),
+        "utility": F.lit(0.5), "write_seq": F.col("write_seq") + 1000,
+    })
+    after = write_ops.write_path(notes, facts)
+    return after.select("bank_id", "id", F.md5("content").alias("content"), F.round("utility", 6).alias("utility"), "write_seq", F.size("links").alias("n_links"))
+
+
+@query(r"""SELECT c.conv_id::VARCHAR AS bank_id, 's' || c.turn AS id, md5('Query: ' || regexp_replace(c.text, '^\s+|\s+$', '', 'g') || ' | Answer: ' || regexp_replace(a.text, '^\s+|\s+$', '', 'g') || ' | Reward: 0.5') AS content,
+  0.5::DOUBLE AS utility, 0 AS n_links, 1.0::DOUBLE AS norm FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1 WHERE c.role = 'user' AND a.role = 'assistant'""")
+def consolidated_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn and the assistant's reply after it, rewarded by a half; the other turns are no answered ones."""
+    c = table(spark, sf_dir, "conversations")
+    order = W.partitionBy("conv_id").orderBy("turn")
+    reply = F.when((F.lead("role").over(order) == "assistant") & (F.lead("turn").over(order) == F.col("turn") + 1), F.lead("text").over(order))
+    answered = c.select(
+        F.col("conv_id").cast("string").alias("bank_id"), F.concat(F.lit("s"), "turn").alias("id"), F.when(F.col("role") == "user", F.col("text")).alias("query"),
+        reply.alias("answer"), F.lit(0.5).alias("reward"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.col("turn").cast("long").alias("write_seq"),
+    )
+    made = write_ops.consolidate(answered)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    return made.select("bank_id", "id", F.md5("content").alias("content"), "utility", F.size("links").alias("n_links"), F.round(norm, 6).alias("norm"))
