@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-QUESTION = r"(?i)^(what|who|where|when|how|which|do|does|is|are)\b"
+#: Fixed value: the wording of a query's opening, whole words by letters of any script.
+QUESTION = r"(?iU)^(what|who|where|when|how|which|do|does|is|are)\b"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -17,7 +17,7 @@ from engram.plans.vector_queries import FIELDS_SQL
 from engram.sources.files import filled, note_json, notes_from_json
 
 #: Fixed value: the wording of a query's opening.
-QUESTION_SQL = r"(contains({0}, '?') OR regexp_matches(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '^(what|who|where|when|how|which|do|does|is|are)\b', 'i'))"
+QUESTION_SQL = r"(contains({0}, '?') OR regexp_matches(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '^(what|who|where|when|how|which|do|does|is|are)([^\pL\pN_]|$)', 'i'))"
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
