@@ -23,8 +23,8 @@ _PACKED = "block long, ids binary, vectors binary, dim int"
 
 
 def _packed(rows: DataFrame, id_col: str, vector: str, size: int, copies: int | None = None) -> DataFrame:
-    """Vectors of one length; (bank id as long) with their rows in blocks of about ``size``; of equal vectors in a block the
-    ``copies`` smallest ids, or all."""
+    """Rows in blocks of about ``size`` vectors, each of one length, ids as long; of equal vectors in a block the ``copies`` smallest
+    ids, or all."""
     n = rows.count()
     blocks = max(1, -(-n // size))
 
@@ -37,7 +37,7 @@ def _packed(rows: DataFrame, id_col: str, vector: str, size: int, copies: int |
         return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "ids": [frame["id"].to_numpy("<i8").tobytes()], "vectors": [x.tobytes()], "dim": [x.shape[1]]})
 
     keyed = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    return keyed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInPandas(pack, _PACKED)
+    return keyed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block", F.size("v").alias("dim")).applyInPandas(pack, _PACKED)
 
 
 def knn(queries: DataFrame, bank: DataFrame, k: int, query_id: str = "query_id", bank_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

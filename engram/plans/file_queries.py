@@ -1,4 +1,5 @@
-"""Readers and writers, held against SQL: what is written is read back and compared. Replies of the link stage, and single scores."""
+"""Readers and writers, held against SQL: what is written is read back and compared. Replies of the link stage, prompts, and single
+scores."""
 
 from __future__ import annotations
 
@@ -13,9 +14,10 @@ from engram.functions.json_fields import evolve_reply, parse_relations
 from engram.functions.vector import lcs_f
 from engram.operators import bank as banks
 from engram.operators import evaluation as ev
+from engram.operators import payloads
 from engram.plans.learning_queries import ITEMS_SQL, RUNS_SQL, items, predictions, reward
 from engram.plans.registry import query, table
-from engram.plans.text_queries import NOTES_SQL, text_bank
+from engram.plans.text_queries import NOTES_SQL, text_bank, turns
 from engram.schema import NOTE
 from engram.sources.files import read_jsonl, read_predictions, read_results, write_jsonl
 
@@ -118,3 +120,29 @@ def rouge_l_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest common subsequence of each prediction and its reference, as F."""
     rows = predictions(spark, sf_dir).join(items(spark, sf_dir).select("id", "answer"), "id")
     return rows.select("id", "label", F.round(lcs_f(F.col("prediction"), F.col("answer")), 9).alias("score"))
+
+
+@query("""SELECT c_custkey, '{"id":"' || c_custkey || '","keywords":["' || c_mktsegment || '"],"tags":[],"description":"' || c_name || '"}' AS short,
+  '{"id":"' || c_custkey || '","keywords":["' || c_mktsegment || '"],"tags":[],"description":"' || c_name || '","content":null,"utility":' || (c_custkey % 4 / 4.0) || '}' AS long FROM customer""")
+def note_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_custkey").cast("string").alias("id"), F.array("c_mktsegment").alias("keywords"), F.array().cast("array<string>").alias("tags"),
+        F.col("c_name").alias("description"), F.lit(None).cast("string").alias("content"), (F.col("c_custkey") % 4 / 4.0).alias("utility"),
+    )
+    return notes.select("c_custkey", payloads.payload().alias("short"), payloads.payload(payloads.LONG).alias("long"))
+
+
+@query("""SELECT conv_id AS query_id, md5('Q' || conv_id || chr(10) || coalesce(string_agg('- ' || text, chr(10) ORDER BY turn DESC) FILTER (turn BETWEEN 1 AND 3), '')) AS prompt FROM conversations GROUP BY conv_id""")
+def baseline_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three turns of each conversation, the last first, as bullets; a shorter conversation has fewer or none."""
+    t = turns(spark, sf_dir)
+    asked = t.select(F.col("bank_id").alias("query_id")).distinct().withColumn("query", F.concat(F.lit("Q"), "query_id"))
+    candidates = t.where("seq BETWEEN 1 AND 3").select(F.col("bank_id").alias("query_id"), (-F.col("seq")).alias("rank"), "content")
+    return payloads.baseline_prompts(asked, candidates, "{query}\n{context}").select("query_id", F.md5("prompt").alias("prompt"))
+
+
+@query("SELECT conv_id || '-' || turn AS id FROM conversations WHERE role = 'user' AND turn % 4 IN (0, 1)")
+def attribute_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes tagged by role and keyed by the place of their turn, filtered by both."""
+    keyed = turns(spark, sf_dir).withColumns({"keywords": F.array(F.concat(F.lit("K"), F.col("seq") % 4)), "tags": F.array("role")})
+    return payloads.matching(keyed, keywords=["k0", "K1"], tags=["USER", "none"]).select("id")

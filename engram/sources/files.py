@@ -89,3 +89,24 @@ def notes_from_json(rows: DataFrame) -> DataFrame:
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
+
+
+ANNOTATION = "id string, query string, history array<string>, reference string, systems array<struct<label: string, answer: string>>"
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """An annotation set, a JSON array of items or one item on each line."""
+    return spark.read.schema(ANNOTATION).option("multiLine", True).json(path)
+
+
+def annotation_array(rows: DataFrame) -> DataFrame:
+    """(json): the set as one JSON array in the order of ids, the form that annotators load; a set is what people read through."""
+    items = F.array_sort(F.collect_list(F.struct("id", F.to_json(F.struct("id", "query", "history", "reference", "systems")).alias("item"))))
+    return rows.agg(F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["item"]), ","), F.lit("]")).alias("json"))
+
+
+def responses(annotations: DataFrame, given: DataFrame) -> DataFrame:
+    """(id, query, systems, responses) of each item: given (id, label, score) as a map, empty where nobody answered."""
+    per_item = given.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "score")))).alias("responses"))
+    none = F.create_map().cast("map<string,double>")
+    return annotations.join(per_item, "id", "left").select("id", "query", "systems", F.coalesce(F.col("responses").cast("map<string,double>"), none).alias("responses"))

@@ -128,3 +128,15 @@ def test_rouge_against_a_table(spark):
     for (p, r), f in zip(pairs, got, strict=True):
         a, b = p.split(), r.split()
         assert f == pytest.approx(2 * table_lcs(a, b) / (len(a) + len(b)) if a and b else 0.0)
+
+
+@pytest.mark.parametrize(("text", "expected"), [("Do it", True), ("  is", True), ("Do\u00edas de", False), ("do_it", False), ("x?", True), ("", False)])
+def test_question_words_end_at_letters_of_any_script(spark, text, expected):
+    assert one(spark, T.is_query(F.col("t")), t=text) is expected
+
+
+@pytest.mark.parametrize("text", ["", "a", "One, two", "--a b  c-d e f", "\u212aelvin is hot today now", "\u4e2d\u6587", "x" * 100_000 + " y z", "-" * 100_000 + "y"])
+def test_first_tokens(spark, text):
+    import re
+
+    assert one(spark, T.first_tokens(F.lower(F.col("t")), 4), t=text) == re.findall("[a-z0-9]+", text.lower())[:4]

@@ -4,7 +4,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from engram.operators import bank, link, retrieve, utility, write_ops
+from engram.operators import bank, link, payloads, retrieve, utility, write_ops
 from engram.operators import evaluation as ev
 from engram.operators.construct import build_notes
 from engram.operators.knn import knn
@@ -170,3 +170,58 @@ def test_annotation_set_hides_the_order(spark):
 def test_group_advantage(spark):
     rows = spark.createDataFrame([(1, 0.0), (1, 2.0), (2, 5.0)], "g int, r double")
     assert sorted((r["g"], r["advantage"]) for r in utility.group_advantage(rows, "g", "r").collect()) == [(1, -1.0), (1, 1.0), (2, 0.0)]
+
+
+def test_write_path_applies_each_operation(spark):
+    bank_notes = notes(spark, ("a", "A", ["x"], 0.9, 1), ("b", "B", ["y"], 0.8, 2))
+    facts = spark.createDataFrame([
+        ("b", "n1", "one", [], 0.5, 11, '{"op": "add"}'),
+        ("b", "n2", "two", [], 0.5, 12, '{"op": "update", "target_id": "a"}'),
+        ("b", "n3", "three", [], 0.5, 13, "no reply"),
+        ("b", "n4", "four", [], 0.5, 14, '{"op": "DELETE", "target_id": "b"}'),
+        ("b", "n5", "five", [], 0.5, 15, '{"op": "DELETE", "target_id": "unknown"}'),
+        ("b", "n6", "six", [], 0.5, 16, '{"op": "NOOP", "target_id": "a"}'),
+        ("b", "n7", "seven", [], 0.5, 17, '{"op": "UPDATE"}'),
+        ("empty", "n8", "eight", [], 0.5, 18, None),
+    ], NOTES + ", reply string")
+    got = {r["id"]: (r["bank_id"], r["content"], r["links"], r["utility"], r["write_seq"]) for r in write_ops.write_path(bank_notes, facts).collect()}
+    assert got == {
+        "a": ("b", "three", ["x"], 0.9, 13), "n1": ("b", "one", [], 0.5, 11),
+        "n7": ("b", "seven", [], 0.5, 17), "n8": ("empty", "eight", [], 0.5, 18),
+    }
+
+
+def test_write_path_without_facts_or_notes(spark):
+    some, none = notes(spark, ("a", "A", [], 0.9, 1)), notes(spark)
+    assert write_ops.write_path(some, none.withColumn("reply", F.lit("x"))).collect() == some.collect()
+    assert [r["id"] for r in write_ops.write_path(none, some.withColumn("reply", F.lit('{"op": "DELETE", "target_id": "a"}'))).collect()] == []
+
+
+def test_consolidation_skips_turns_without_an_answer(spark):
+    rows = [("b", "s1", " who? ", "you ", 1.0, None, 1), ("b", "s2", "q", None, 1.0, None, 2), ("b", "s3", "q", "a", None, None, 3)]
+    answered = spark.createDataFrame(rows, "bank_id string, id string, query string, answer string, reward double, ts timestamp, write_seq long")
+    got = write_ops.consolidate(answered).collect()
+    assert [(r["id"], r["content"], r["utility"], r["links"]) for r in got] == [("s1", "Query: who? | Answer: you | Reward: 1.0", 0.5, [])]
+
+
+def test_prompts_of_notes(spark):
+    queries = spark.createDataFrame([(1, "q"), (2, "r")], "query_id long, query string")
+    found = spark.createDataFrame([(1, 2, "b", ["k"], [], "d", "B", 0.5), (1, 1, "a", [], [], "", None, 1.0)],
+                                  "query_id long, rank int, id string, keywords array<string>, tags array<string>, description string, content string, utility double")
+    got = {r["query_id"]: r["prompt"] for r in payloads.answer_prompts(queries, found, "{query}:{notes}").collect()}
+    assert got[2] == "r:[]"
+    assert got[1] == 'q:[{"id":"a","keywords":[],"tags":[],"description":"","content":null,"utility":1.0},{"id":"b","keywords":["k"],"tags":[],"description":"d","content":"B","utility":0.5}]'
+    bullets = {r["query_id"]: r["prompt"] for r in payloads.baseline_prompts(queries, found, "{query}|{context}").collect()}
+    assert bullets == {1: "q|- \n- B", 2: "r|"}
+
+
+def test_ids_repeat(spark):
+    facts = spark.createDataFrame([("b", "x", None, 1), ("b", None, None, 1), (None, "x", None, 1)], "bank_id string, content string, ts timestamp, write_seq long")
+    first, second = ([r["id"] for r in payloads.with_ids(facts).collect()] for _ in range(2))
+    assert first == second and len(set(first)) == 3
+
+
+def test_knn_keeps_lengths_apart(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = knn(rows.withColumnRenamed("vec_id", "query_id"), rows, 2)
+    assert sorted((r["query_id"], r["vec_id"]) for r in got.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]

@@ -125,3 +125,15 @@ def test_a_failed_save_does_not_lock_the_store(spark, tmp_path):
         store.save(notes.withColumn("content", F.raise_error(F.lit("no")).cast("string")))
     (tmp_path / "bank" / "v=1").mkdir(parents=True)  # what an unfinished write under the number itself left
     assert store.save(notes).count() == 1 and store.versions() == [2]
+
+
+def test_annotation_array_and_responses(spark, tmp_path):
+    made = [("2", "q2", ["h"], "r", [("A", "x"), ("B", None)]), ("1", "q1", [], "s", [("B", 'y "z"')])]
+    rows = spark.createDataFrame(made, files.ANNOTATION)
+    path = tmp_path / "set.json"
+    path.write_text(files.annotation_array(rows).first()["json"])
+    back = files.read_annotations(spark, str(path))
+    assert [(r["id"], r["query"], r["history"], r["reference"], [tuple(x) for x in r["systems"]]) for r in back.collect()] == [made[1], made[0]]
+    given = spark.createDataFrame([("1", "B", 4.0), ("1", "A", 2.0)], "id string, label string, score double")
+    assert {r["id"]: r["responses"] for r in files.responses(back, given).collect()} == {"1": {"A": 2.0, "B": 4.0}, "2": {}}
+    assert files.annotation_array(rows.limit(0)).first()["json"] == "[]"
