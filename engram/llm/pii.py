@@ -94,6 +94,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     after = dict.fromkeys(ORDER, 0)  # where a kind's last match ended
     run = -1  # the end of the digit run last seen
+    barren = 0  # the end of the value last seen that has no digit
 
     def keep(kind: str, start: int, end: int) -> None:
         after[kind] = end
@@ -107,7 +108,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 continue
             if at >= after["ip"] and (m := IP.match(text, at)):
                 after["ip"] = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                     keep("ip", at, m.end())
             if at >= after["card"] and (m := CARD.match(text, at)):
                 after["card"] = m.end()
@@ -144,8 +145,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if (m := ACCOUNT.match(text, last + 1)) and m.start(1) >= after["account"]:
                 keep("account", m.start(1), m.end(1))
         elif cue == "secret":
-            if (m := SECRET.match(text, last + 1)) and m.start(1) >= after["secret"] and any(c in DIGITS for c in m[1]):
-                keep("secret", m.start(1), m.end(1))
+            # A cue before the last character of a secret, or of a value without a digit, has its value in there too.
+            if last + 2 >= max(after["secret"], barren) and (m := SECRET.match(text, last + 1)) and m.start(1) >= after["secret"]:
+                if any(c in DIGITS for c in m[1]):
+                    keep("secret", m.start(1), m.end(1))
+                else:
+                    barren = m.end(1)
         elif cue == "key":
             if at >= after["secret"] and (m := KEY_FORMS[text[at : last + 1]].match(text, at)):
                 keep("secret", at, m.end())
