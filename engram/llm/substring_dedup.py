@@ -200,9 +200,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     anchors, shards = written(_anchors(source, window), "anchors"), SHARDS * shuffle_partitions(docs.sparkSession)
     total = anchors.agg(F.sum("c")).first()[0] or 0
     placed = written(_segments(source, window, _levels(anchors), shards, max(FREQUENT, total / shards / 2)), "segments")
-    distinct = placed.where("shard IS NOT NULL").select("shard", "route", "fp", "words", "c")
+    # Folded over all batches before the shards: a passage of every document reaches its shard once.
+    distinct = placed.where("shard IS NOT NULL").groupBy("shard", "route", "fp").agg(F.first("words").alias("words"), F.sum("c").alias("c"))
     found = written(distinct.groupBy("shard").applyInPandas(_searched(window), "fp binary, repeated binary"), "repeated")
-    places = placed.where("start IS NOT NULL").select("doc_id", "row_key", "start", "fp")
+    # Rows alike in id and text have the same places: once is enough for all of them.
+    places = placed.where("start IS NOT NULL").select("doc_id", "row_key", "start", "fp").distinct()
     return source, places.join(found, "fp").select("doc_id", "row_key", "start", "repeated")
 
 

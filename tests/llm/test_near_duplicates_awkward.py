@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.llm import jaccard_join as J
+from engram.llm import substring_dedup as S
 from engram.llm.shingles import shingle_set
 
 from .helpers import awkward, corpus, frame, prose
@@ -98,3 +99,13 @@ def test_long_lists_of_uncounted_items_are_split(spark, monkeypatch):
     got = J.linked(frame(spark, rows), 1, t)
     assert Counter(tuple(r) for r in got.collect()) == brute_links(rows, 1, t)
     assert 2 < longest[0] < 60
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_places_of_rows_that_are_alike_are_kept_once(spark, doc_id):
+    text = prose(random.Random(31), 200)
+    rows = frame(spark, [(doc_id, text, "en", "s1")] * 500 + [(1, prose(random.Random(32), 50), "en", "s1")])
+    one = S.repeated_windows(frame(spark, [(doc_id, text, "en", "s1")] * 2))[1].count()
+    assert S.repeated_windows(rows)[1].count() == one
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in S.removed(rows).collect())
+    assert got == {(doc_id, 200, 200): 500, (1, 50, 0): 1}
