@@ -1,6 +1,6 @@
 """Approximate nearest neighbours on robust-pruned directed graphs.
 
-Equal vectors are one node that keeps the smallest ids of its members. Nodes are dealt to shards of about SHARD by a hash. In
+Equal vectors are one node that keeps the smallest ids of its members. Nodes are dealt to shards of about SHARD by a hash, and by how large their components are. In
 a shard, points are inserted in batches: a greedy beam search from the medoid over the graph so far proposes neighbours, and
 robust pruning keeps up to DEGREE of them: the nearest candidate stays and removes those that it is nearer to by the factor
 ALPHA, again and again; back edges are added and pruned alike. Every row is indexed. Queries are packed into blocks; each
@@ -28,6 +28,9 @@ from engram.llm.common import integer_ids, written
 K, SHARD, DEGREE, BEAM, ALPHA = 10, 4096, 32, 64, 1.2
 #: Nodes kept by a search of a query; vectors of a block of queries; nodes expanded at once.
 SEARCH, BLOCK, WIDTH, SEED = 96, 1024, 4, 7
+#: Vectors whose largest components are within this many powers of two share shards; powers of two by which a query may
+#: exceed a shard in single precision, and in double precision.
+MAGNITUDE, NEAR, FAR = 16, 40, 400
 
 
 def _squares(x: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -41,12 +44,12 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, q: np.ndarr
 
     graph: the neighbours of each node, padded with -1. A round expands the WIDTH nearest nodes not expanded yet."""
     n, b = len(x), len(q)
-    beam = min(beam, n)
+    beam = min(max(beam, len(start)), n)
     met = np.zeros((b, n + 1), dtype=bool)
     met[:, n] = True  # stands for the padding
     ids = np.full((b, beam), n)
     dist = np.full((b, beam), np.inf, dtype=x.dtype)
-    first = start[:beam]
+    first = start
     ids[:, : len(first)], dist[:, : len(first)] = first, _squares(x, np.broadcast_to(first, (b, len(first))), q)
     met[:, first] = True
     done = np.zeros((b, beam), dtype=bool)
@@ -161,11 +164,35 @@ def _vectors(frame: pd.DataFrame) -> np.ndarray:
     return np.array(frame["v"].tolist(), dtype=np.float64)
 
 
+def _centred(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(x scaled by a power of two to about 1 and centred, in single precision; the middle; the power): neither large nor tiny
+    components leave the range of squares."""
+    power = int(np.frexp(np.abs(x).max())[1])
+    scaled = np.ldexp(x, -power)
+    middle = scaled.mean(axis=0)
+    return (scaled - middle).astype(np.float32), middle, power
+
+
+def _reached(q: np.ndarray, middle: np.ndarray, power: int) -> np.ndarray:
+    """Queries in a shard's scale: in single precision, or in double precision and at most FAR if some lie far outside the shard."""
+    large = np.frexp(np.abs(q).max(axis=1))[1] - power
+    down = np.maximum(large - FAR, 0)  # beyond that only the direction counts
+    out = np.ldexp(np.ldexp(q, -(power // 2) - down[:, None]), power // 2 - power) - middle  # in two steps, each within range
+    return out if large.max() > NEAR else out.astype(np.float32)
+
+
+def _exact(x: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; the scaling by a power of two changes no digit."""
+    diff = x - vector
+    power = int(np.frexp(np.abs(diff).max(initial=0.0))[1])
+    return np.ldexp(np.sqrt((np.ldexp(diff, -power) ** 2).sum(axis=1)), power)
+
+
 def _index(frame: pd.DataFrame) -> pd.DataFrame:
     """One packed row of a shard."""
     frame = frame.sort_values("rep", kind="stable")
     x = _vectors(frame)
-    graph, start = build((x - x.mean(axis=0)).astype(np.float32))
+    graph, start = build(_centred(x)[0])
     members = [list(m) for m in frame["members"]]
     return pd.DataFrame({
         "shard": [frame["shard"].iloc[0]], "n": [len(x)], "vectors": [x.tobytes()], "graph": [graph.astype("<i4").tobytes()], "start": [start.astype("<i4").tobytes()],
@@ -191,8 +218,9 @@ def build_index(vectors: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame
     few = vectors.withColumn("v", F.transform("v", lambda c: c + F.lit(0.0))).withColumn("k", F.row_number().over(same)).where(F.col("k") <= k + 1)
     nodes = few.groupBy("v", "dim").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("members"))
     nodes = written(nodes, "nodes")
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard).alias("shards"))
-    dealt = nodes.join(shards, "dim").withColumn("shard", F.concat_ws("-", "dim", F.pmod(F.xxhash64("rep"), F.col("shards"))))
+    sized = nodes.withColumn("size", F.floor(F.log2(F.array_max(F.transform("v", F.abs))) / MAGNITUDE))
+    shards = sized.groupBy("dim", "size").agg(F.ceil(F.count("*") / shard).alias("shards"))
+    dealt = sized.join(shards, ["dim", "size"]).withColumn("shard", F.concat_ws("-", "dim", F.pmod(F.xxhash64("rep"), F.col("shards")), "size"))
     return written(dealt.select("shard", "rep", "v", "members").groupBy("shard").applyInPandas(_index, _INDEX), "index")
 
 
@@ -206,14 +234,16 @@ def _search(k: int):
                 graph = np.frombuffer(row["graph"], "<i4").reshape(row["n"], -1).astype(np.int64)
                 members, sizes = np.frombuffer(row["members"], "<i8"), np.frombuffer(row["sizes"], "<i4").astype(np.int64)
                 ends = np.cumsum(sizes)
-                middle, start = x.mean(axis=0), np.frombuffer(row["start"], "<i4").astype(np.int64)
-                near, single = (x - middle).astype(np.float32), (q - middle).astype(np.float32)
+                start = np.frombuffer(row["start"], "<i4").astype(np.int64)
+                near, middle, power = _centred(x)
+                single = _reached(q, middle, power)
+                near = near.astype(single.dtype)
                 out: list[tuple[int, int, float]] = []
                 for at in range(0, len(q), 128):
                     ids, _, _ = beam_search(near, graph, start, single[at : at + 128], SEARCH)
                     for mine, vector, found in zip(qid[at : at + 128].tolist(), q[at : at + 128], ids, strict=True):
                         found = found[found < row["n"]]
-                        exact = np.sqrt(((x[found] - vector) ** 2).sum(axis=1))
+                        exact = _exact(x[found], vector)
                         nodes = np.repeat(np.arange(len(found)), sizes[found])
                         vec = np.concatenate([members[ends[f] - sizes[f] : ends[f]] for f in found.tolist()])
                         other = vec != mine
