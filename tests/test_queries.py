@@ -4,7 +4,7 @@ import os
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
-from engram.plans import file_queries, learning_queries, systems, text_queries, vector_queries  # noqa: E402, F401
+from engram.plans import file_queries, learning_queries, sequence_queries, systems, text_queries, vector_queries  # noqa: E402, F401
 from engram.plans.registry import QUERIES, SQL  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
