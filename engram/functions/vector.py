@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,23 +60,34 @@ def hash_embed(df: DataFrame, keys: list[str], text: Column, dim: int = 64) -> D
 
 
 def lcs_f(prediction: Column, reference: Column) -> Column:
-    """ROUGE-L F of two texts: longest common subsequence of tokens, by a linear-space table in batches of rows."""
+    """ROUGE-L F of two texts: longest common subsequence of tokens, in batches of rows."""
     return F.pandas_udf(_lcs, "double")(prediction, reference)
 
 
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """Bit-parallel: a row of the table is one number whose zero bits are the places of b at which the row steps up, so a word of a costs
+    an addition and a mask over all of b."""
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(b):
+        places.setdefault(w, []).append(i)
+    masks = {}
+    for w in set(a) & places.keys():
+        bits = bytearray(len(b) // 8 + 1)
+        for i in places[w]:
+            bits[i >> 3] |= 1 << (i & 7)
+        masks[w] = int.from_bytes(bits, "little")
+    whole = row = (1 << len(b)) - 1
+    for w in a:
+        mask = masks.get(w)
+        if mask:
+            hit = row & mask
+            row = (row + hit | row - hit) & whole
+    return len(b) - row.bit_count()
+
+
 def _lcs(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     def f(p: str | None, r: str | None) -> float:
         a, b = (re.findall("[a-z0-9]+", (x or "").lower()) for x in (p, r))
-        if not a or not b:
-            return 0.0
-        codes = {w: i for i, w in enumerate(dict.fromkeys(b))}
-        y = np.array([codes[w] for w in b])
-        row = np.zeros(len(b) + 1, dtype=np.int64)
-        for w in a:
-            # The next row is the running maximum of this row and the diagonal where the words agree.
-            step = np.where(y == codes.get(w, -1), row[:-1] + 1, row[1:])
-            row = np.concatenate([[0], np.maximum.accumulate(np.maximum(step, row[1:]))])
-        share = int(row[-1])
-        return 2.0 * share / (len(a) + len(b))
+        return 2.0 * lcs_length(a, b) / (len(a) + len(b)) if a and b else 0.0
 
     return prediction.combine(reference, f)

@@ -44,9 +44,6 @@ def results_table(results: DataFrame) -> DataFrame:
     return wide.withColumn("line", F.format_string("| %s | %.4f | %.4f | %.4f |", "run", *METRICS)).orderBy("run")
 
 
-TABLE_HEAD = ("| Run | EM | ROUGE-L | BERTScore-F1 |", "| --- | --- | --- | --- |")
-
-
 def results_json(results: DataFrame) -> DataFrame:
     """(json): one row, an object of all runs, each an object of its metrics; runs are the few that a report compares."""
     per_run = results.groupBy("run").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))

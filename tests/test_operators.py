@@ -225,3 +225,35 @@ def test_knn_keeps_lengths_apart(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     got = knn(rows.withColumnRenamed("vec_id", "query_id"), rows, 2)
     assert sorted((r["query_id"], r["vec_id"]) for r in got.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
+
+
+def test_trajectory_of_a_key_with_many_rewards_and_steep_weights(spark):
+    rng = random.Random(8)
+    for alpha, n in ((0.1, 3000), (0.9, 700), (0.999999, 300), (1.0, 50), (0.001, 2000)):
+        data = [("k" if i % 3 else None, rng.randrange(4_000_000), i, rng.uniform(-1, 1)) for i in range(n)] + [("k", 5, n, None)]
+        rows = spark.createDataFrame(data, "key string, s long, seq long, reward double").withColumn("ts", F.timestamp_seconds("s"))
+        q, steps, path = {}, {}, {}
+        for key, _, seq, r in sorted((d for d in data if d[3] is not None), key=lambda x: (x[1], x[2])):
+            q[key] = q.get(key, 0.5) + alpha * (r - q.get(key, 0.5))
+            steps[key] = steps.get(key, 0) + 1
+            path[seq] = (key, steps[key], q[key])
+        got = {r["seq"]: (r["key"], r["step"], r["utility"]) for r in utility.ema_trajectory(rows, alpha, span="week").collect()}
+        assert got.keys() == path.keys() and all(got[s][:2] == path[s][:2] and got[s][2] == pytest.approx(path[s][2], abs=1e-12) for s in path)
+
+
+def test_advantage_of_rows_without_a_group(spark):
+    rows = spark.createDataFrame([(1, 0.0), (None, 2.0), (None, 4.0)], "g int, r double")
+    assert sorted((r["r"], r["advantage"]) for r in utility.group_advantage(rows, "g", "r").collect()) == [(0.0, 0.0), (2.0, -1.0), (4.0, 1.0)]
+
+
+def test_longest_common_subsequence_equals_the_table(spark):
+    from engram.functions.vector import lcs_length
+
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefg"[: rng.randint(1, 7)]) for _ in range(rng.randint(0, 150))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert lcs_length(a, b) == table[-1][-1]
