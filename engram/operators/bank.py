@@ -1,13 +1,17 @@
 """The note table: reads, and set-based writes that give a new table.
 
 A write never changes the table it reads: upserts, patches and deletes are joins whose result is saved as a new
-version, and ``Store`` points readers to the latest whole version.
+version, and ``Store`` points readers to the latest whole version. A null bank is a bank like others in a Store, and matches no other in
+upserts, patches and deletes.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,59 +101,121 @@ def dangling_links(notes: DataFrame) -> DataFrame:
     return edges(notes).join(notes.select("bank_id", F.col("id").alias("dst")), ["bank_id", "dst"], "left_anti").select("bank_id", "src", "dst")
 
 
+def bucket_of(columns: tuple[str, ...], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+
+
 class Store:
-    """Versions of a note table under a folder: <path>/v=<n>; a version counts once Spark has committed it."""
+    """Versions of a note table under a folder, of which a write makes anew only the buckets that it touches.
+
+    Notes lie in buckets by their bank (or by ``by``, so that one huge bank is spread), in files sorted by bank and id with a Bloom
+    filter on the id. Version n is the file <path>/commits/<n>.json: the folder of each bucket, and the marks. It is published by a rename
+    that fails where the number is taken, so of two writers the later one fails and readers see whole versions only; what a
+    failed write left is in no version."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, by: tuple[str, ...] = ("bank_id",)):
+        self.spark, self.path, self.buckets, self.by = spark, path.rstrip("/"), buckets, by
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def _at(self, *parts: str) -> JavaObject:
+        return self._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+
+    def _fs(self) -> JavaObject:
+        return self._at().getFileSystem(self._conf)
 
     def versions(self) -> list[int]:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        top = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = top.getFileSystem(conf)
-        if not fs.exists(top):
-            return []
-        found = [s.getPath() for s in fs.listStatus(top)]
-        done = [p for p in found if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName()[2:]) for p in done)
-
-    def _taken(self) -> int:
-        """The greatest number in use, by whole versions or by what a failed write left."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        top = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = top.getFileSystem(conf)
+        fs, top = self._fs(), self._at("commits")
         names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
-        return max((int(n[2:]) for n in names if n.startswith("v=")), default=0)
+        return sorted(int(n.removesuffix(".json")) for n in names if n[:1].isdigit())
+
+    def manifest(self, version: int | None = None) -> dict:
+        """{"version", "folders": bucket -> folder, "marks": name -> number, "buckets", "by"} of a version, by default the latest; of none
+        there are no folders."""
+        found = self.versions() if version is None else [version]
+        if not found:
+            return {"version": 0, "folders": {}, "marks": {}, "buckets": self.buckets, "by": list(self.by)}
+        stream = self._fs().open(self._at("commits", f"{found[-1]}.json"))
+        try:
+            return {"version": found[-1], **json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))}
+        finally:
+            stream.close()
 
     def mark(self, name: str) -> int | None:
         """The number last saved under a name, None if there is none."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for v in reversed(self.versions()):
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}")
-            for s in folder.getFileSystem(conf).listStatus(folder):
-                file = s.getPath().getName()
-                if file.startswith(f"_mark-{name}-"):
-                    return int(file.rsplit("-", 1)[1])
-        return None
-
-    def load(self) -> DataFrame:
-        """The latest version; an empty table if there is none."""
-        found = self.versions()
-        if not found:
+        return self.manifest()["marks"].get(name)
+
+    def _read(self, folders: dict[str, str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], NOTE)
-        return self.spark.read.schema(NOTE).parquet(f"{self.path}/v={found[-1]}")
+        return self.spark.read.schema(NOTE).parquet(*[f"{self.path}/data/{f}/bucket={b}" for b, f in sorted(folders.items())])
+
+    def load(self, version: int | None = None) -> DataFrame:
+        """A version, by default the latest; an empty table if there is none."""
+        return self._read(self.manifest(version)["folders"])
+
+    def get(self, bank_id: str, *ids: str) -> DataFrame:
+        """Notes of a bank by id: of one bucket, or the ids' buckets, are those row groups read that may hold them."""
+        now = self.manifest()
+        asked = self.spark.createDataFrame([(bank_id, i) for i in ids], "bank_id string, id string")
+        touched = {str(r[0]) for r in asked.select(bucket_of(tuple(now["by"]), now["buckets"])).distinct().collect()}
+        return self._read({b: f for b, f in now["folders"].items() if b in touched}).where((F.col("bank_id") == bank_id) & F.col("id").isin(*ids))
+
+    def _publish(self, base: dict, changed: dict[str, str | None], mark: tuple[str, int] | None) -> None:
+        folders = {b: f for b, f in (base["folders"] | changed).items() if f}
+        body = {"folders": folders, "marks": base["marks"] | (dict([mark]) if mark else {}), "buckets": base["buckets"], "by": base["by"]}
+        fs, own = self._fs(), self._at("commits", f"_{uuid.uuid4().hex}")
+        out = fs.create(own)
+        out.write(bytearray(json.dumps(body).encode()))
+        out.close()
+        # Unlike the file system's own rename, this fails where the target is there.
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf)
+        try:
+            context.rename(own, self._at("commits", f"{base['version'] + 1}.json"), self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Exception:
+            fs.delete(own, False)
+            raise
+
+    def _write(self, notes: DataFrame, base: dict) -> dict[str, str]:
+        """The folder of each bucket that notes have rows in."""
+        own, fs = uuid.uuid4().hex, self._fs()
+        rows = notes.withColumn("bucket", bucket_of(tuple(base["by"]), base["buckets"])).hint("rebalance", "bucket").sortWithinPartitions("bucket", "bank_id", "id")
+        try:
+            rows.write.option("parquet.bloom.filter.enabled#id", "true").partitionBy("bucket").parquet(f"{self.path}/data/{own}")
+        except Exception:
+            fs.delete(self._at("data", own), True)
+            raise
+        names = [s.getPath().getName() for s in fs.listStatus(self._at("data", own))]
+        return {n.removeprefix("bucket="): own for n in names if n.startswith("bucket=")}
 
     def save(self, notes: DataFrame, mark: tuple[str, int] | None = None) -> DataFrame:
-        """Write to a folder of its own, then publish it by renaming; a failed write leaves the numbers as they are, and of two
-        writers the later one fails. mark (name, number) is published with the version."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        number, path = self._taken() + 1, jvm.org.apache.hadoop.fs.Path
-        own = f"{self.path}/_writing-{uuid.uuid4().hex}"
-        notes.write.parquet(own)
-        fs = path(own).getFileSystem(conf)
-        if mark:
-            fs.create(path(own, f"_mark-{mark[0]}-{mark[1]}")).close()
-        # Unlike the file system's own rename, this fails where the target is there.
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
-        context.rename(path(own), path(f"{self.path}/v={number}"), self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        """A version of these notes alone. mark (name, number) is published with it."""
+        base = self.manifest()
+        self._publish(base, dict.fromkeys(base["folders"]) | self._write(notes, base), mark)
         return self.load()
+
+    def change(self, writes: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame], mark: tuple[str, int] | None = None) -> DataFrame:
+        """A version in which the buckets of writes (bank_id, and id if buckets go by it) are what ``how`` (their notes, writes) gives; all
+        others are taken over. The driver sees the numbers of the buckets touched."""
+        base = self.manifest()
+        touched = [str(r[0]) for r in writes.select(bucket_of(tuple(base["by"]), base["buckets"])).distinct().collect()]
+        new = {}
+        if touched:
+            new = self._write(how(self._read({b: f for b, f in base["folders"].items() if b in touched}), writes), base)
+            if stray := new.keys() - set(touched):
+                raise ValueError(f"writes to buckets that they do not name: {sorted(stray)}")
+        self._publish(base, dict.fromkeys(touched) | new, mark)
+        return self.load()
+
+    def upsert(self, writes: DataFrame, mark: tuple[str, int] | None = None) -> DataFrame:
+        return self.change(writes, upsert, mark)
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Remove all versions but the last ``keep``, and folders that none of those names. Not while a write is under way."""
+        found, fs = self.versions(), self._fs()
+        used = {f for v in found[-keep:] for f in self.manifest(v)["folders"].values()}
+        for v in found[:-keep]:
+            fs.delete(self._at("commits", f"{v}.json"), False)
+        top = self._at("data")
+        for s in fs.listStatus(top) if fs.exists(top) else []:
+            if s.getPath().getName() not in used:
+                fs.delete(s.getPath(), True)

@@ -3,10 +3,6 @@ scores."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,32 +15,20 @@ from engram.plans.learning_queries import ITEMS_SQL, RUNS_SQL, items, prediction
 from engram.plans.registry import query, table
 from engram.plans.text_queries import NOTES_SQL, text_bank, turns
 from engram.schema import NOTE
+from engram.shared import fresh_path
 from engram.sources.files import read_jsonl, read_predictions, read_results, write_jsonl
 
 
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="engram-")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(shared or _own_dir()).rstrip('/')}/engram/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {ITEMS_SQL} SELECT conv_id::VARCHAR AS id, md5(query) AS query, md5(answer) AS answer, md5(coalesce(history, '')) AS history FROM items")
 def jsonl_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "items")
+    path = fresh_path(spark, "items")
     write_jsonl(items(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "query", "answer", "history"), path)
     return read_jsonl(spark, path).select("id", F.md5("query").alias("query"), F.md5("answer").alias("answer"), F.md5(F.array_join("history", "\n")).alias("history"))
 
 
 @query(f"WITH {ITEMS_SQL} SELECT conv_id::VARCHAR AS id, md5(prediction) AS prediction FROM predictions WHERE system = 'full_context'")
 def predictions_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "predictions")
+    path = fresh_path(spark, "predictions")
     write_jsonl(predictions(spark, sf_dir).where("label = 'full_context'").select(F.col("id").cast("string").alias("id"), "prediction"), path)
     return read_predictions(spark, path).select("id", F.md5("prediction").alias("prediction"))
 
@@ -52,7 +36,7 @@ def predictions_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {RUNS_SQL} SELECT run, metric, round(value, 9) AS value FROM runs")
 def results_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One object of all runs, written and read again."""
-    path, names = scratch(spark, "results"), F.array(*[F.lit(x) for x in ("em", "rougeL", "bertscore_f1", "other")])
+    path, names = fresh_path(spark, "results"), F.array(*[F.lit(x) for x in ("em", "rougeL", "bertscore_f1", "other")])
     metric = F.element_at(names, (F.col("event_id") % 4 + 1).cast("int"))
     runs = table(spark, sf_dir, "events").groupBy(F.concat_ws("/", "event_type", "user_id").alias("run"), metric.alias("metric")).agg(F.avg(reward()).alias("value"))
     ev.results_json(runs).write.text(path)
@@ -76,13 +60,22 @@ def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = {c: F.array_repeat(F.lit(0.125), 64) for c in ("embedding", "intent")}
     notes = text_bank(spark, sf_dir).withColumns(vectors | {"ts": F.lit("2024-01-01").cast("timestamp")})
     notes = notes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NOTE])
-    store = banks.Store(spark, scratch(spark, "store"))
+    store = banks.Store(spark, fresh_path(spark, "store"))
     first = store.save(banks.checked_dim(notes, 64))
     again = first.where("write_seq = 1").withColumns({"content": F.concat(F.lit("again "), "content"), "write_seq": F.col("write_seq") + 1000})
-    last = store.save(banks.upsert(first, again))
+    last = store.upsert(again)
     return last.select("bank_id", "id", F.md5("content").alias("content"), F.round("utility", 6).alias("utility"), "write_seq", F.size("embedding").alias("dim"))
 
 
+@query(f"WITH {NOTES_SQL} SELECT bank_id::VARCHAR AS bank_id, id, md5(content) AS content, write_seq FROM notes WHERE bank_id = 7 AND write_seq IN (0, 3)")
+def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes by id from a saved table: one bucket is read, filtered by its files' statistics and Bloom filters."""
+    notes = turns(spark, sf_dir).select(F.col("bank_id").cast("string").alias("bank_id"), "id", "content", F.col("seq").cast("long").alias("write_seq"))
+    store = banks.Store(spark, fresh_path(spark, "store"))
+    store.save(notes.select(*[(F.col(f.name) if f.name in notes.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in NOTE]))
+    return store.get("7", "7-0", "7-3", "7-none").select("bank_id", "id", F.md5("content").alias("content"), "write_seq")
+
+
 @query("""SELECT event_id, CASE WHEN user_id % 4 = 0 THEN event_type || '>b:r,c>' || user_id || ':s' ELSE '' END AS relations FROM events""")
 def relations_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies with two relations, with none that names a note, with an empty list, and malformed."""
