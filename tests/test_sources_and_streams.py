@@ -1,15 +1,18 @@
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from engram import backends
+from engram.operators import bank
 from engram.operators.bank import Store
 from engram.operators.construct import build_notes
 from engram.profiling import StageTimes, stage_means
 from engram.schema import NOTE, Params
 from engram.sources import files
-from engram.streaming.streams import ema_stream, notes_sink
+from engram.streaming.streams import ema_event_time, ema_stream, notes_sink
 
 
 def test_jsonl_defaults_and_errors(spark, tmp_path):
@@ -117,14 +120,115 @@ def test_notes_sink_writes_a_batch_once(spark, tmp_path):
     assert sorted(r["id"] for r in store.load().collect()) == ["n1", "n2"]
 
 
+def stored(spark, rows):
+    """Notes (bank_id, id, content, utility) with all columns."""
+    made = spark.createDataFrame([(*r, 1) for r in rows], "bank_id string, id string, content string, utility double, write_seq long")
+    return made.select(*[(F.col(f.name) if f.name in made.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in NOTE])
+
+
 def test_a_failed_save_does_not_lock_the_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "bank"))
-    facts = spark.createDataFrame([("b", "n1", "x", 0)], "bank_id string, id string, content string, write_seq long").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
-    notes = build_notes(facts)
+    notes = stored(spark, [("b", "n1", "x", 0.5)])
     with pytest.raises(Exception):
         store.save(notes.withColumn("content", F.raise_error(F.lit("no")).cast("string")))
-    (tmp_path / "bank" / "v=1").mkdir(parents=True)  # what an unfinished write under the number itself left
-    assert store.save(notes).count() == 1 and store.versions() == [2]
+    assert store.versions() == [] and not list((tmp_path / "bank").rglob("*.parquet"))
+    assert store.save(notes).count() == 1 and store.versions() == [1]
+
+
+def test_a_write_makes_only_its_buckets_anew(spark, tmp_path):
+    rows = [(b, f"n{i}", f"{b} {i}", i / 10) for b in ["a", "b", "c", "d", "e", None] for i in range(5)]
+    store = Store(spark, str(tmp_path / "bank"), buckets=8)
+    store.save(stored(spark, rows))
+    first = store.manifest()
+    store.upsert(stored(spark, [("c", "n1", "new", 0.9), ("c", "n9", "more", 0.1)]))
+    second = store.manifest()
+    changed = {k for k in first["folders"] if first["folders"][k] != second["folders"][k]}
+    assert len(changed) == 1 and first["folders"].keys() == second["folders"].keys() and len(first["folders"]) > 2
+    want = {(b, i): (t, q) for b, i, t, q in rows} | {("c", "n1"): ("new", 0.9), ("c", "n9"): ("more", 0.1)}
+    assert {(r["bank_id"], r["id"]): (r["content"], r["utility"]) for r in store.load().collect()} == want
+    assert {(r["bank_id"], r["id"]): r["content"] for r in store.load(1).collect()} == {(b, i): t for b, i, t, _ in rows}
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "bank" / "data").rglob("*.parquet")}
+    gone = stored(spark, [("a", f"n{i}", None, None) for i in range(5)])
+    store.change(gone, bank.delete)
+    assert all(p.stat().st_mtime_ns == t for p, t in files.items())
+    assert store.load().where("bank_id = 'a'").count() == 0 and store.load().count() == len(want) - 5
+    got = store.get("c", "n1", "n9", "none")
+    assert sorted(r["content"] for r in got.collect()) == ["more", "new"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "In(id" in plan and len({f.split("bucket=")[1].split("/")[0] for f in got.inputFiles()}) == 1
+    store.vacuum()
+    assert store.versions() == [3] and store.load().count() == len(want) - 5
+    with pytest.raises(ValueError):
+        store.change(gone, lambda old, new: stored(spark, [(b, "n", "x", 0.0) for b in "abcde"]))
+
+
+def test_of_two_writers_the_later_one_fails(spark, tmp_path):
+    store, other = (Store(spark, str(tmp_path / "bank")) for _ in range(2))
+    notes = stored(spark, [("b", "n1", "x", 0.5)])
+
+    def slow(old, new):
+        other.save(notes)
+        return new
+
+    with pytest.raises(Exception):
+        store.change(notes, slow)
+    assert store.versions() == [1] and not [p for p in (tmp_path / "bank" / "commits").iterdir() if p.name.startswith("_")]
+    assert store.upsert(notes).count() == 1
+
+
+def test_marks_of_streams_whose_names_begin_alike(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "bank"))
+    notes_sink(store, "notes-2")(stored(spark, [("b", "n1", "x", 0.5)]), 7)
+    assert store.mark("notes") is None and store.mark("notes-2") == 7
+    notes_sink(store, "notes")(stored(spark, [("c", "n2", "y", 0.5)]), 0)
+    assert (store.mark("notes"), store.mark("notes-2")) == (0, 7) and store.load().count() == 2
+
+
+def test_ids_spread_one_bank_over_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "bank"), buckets=4, by=("bank_id", "id"))
+    store.save(stored(spark, [("b", f"n{i}", "x", 0.5) for i in range(40)]))
+    assert len(store.manifest()["folders"]) == 4
+    again = Store(spark, str(tmp_path / "bank"))  # the table knows its own buckets
+    again.upsert(stored(spark, [("b", "n3", "y", 0.5)]))
+    assert again.load().count() == 40 and [r["content"] for r in again.get("b", "n3").collect()] == ["y"]
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_rewards_out_of_order_are_folded_by_event_time(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(rng.choice("abc"), i, rng.uniform(-1, 1), 1_700_000_000 + rng.randrange(20_000)) for i in range(300)]
+    rows.sort(key=lambda r: r[3] + rng.uniform(0, 3000))  # at most an hour out of order
+    rows += [("late", 900, 1.0, 1_700_000_500), ("a", 901, 1.0, 1_700_000_500), ("end", 999, 1.0, 1_700_090_000), ("end", 1000, 1.0, 1_700_990_000)]
+    schema = "key string, seq long, reward double, s long"
+    src = tmp_path / "in"
+    for k in range(0, len(rows), 40):
+        spark.createDataFrame(rows[k : k + 40], schema).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(str(src / f"{k:04d}"))
+        for p in (src / f"{k:04d}").glob("*.parquet"):
+            os.utime(p, (1_800_000_000 + k, 1_800_000_000 + k))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    stream = spark.readStream.schema(f"{schema}, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(src))
+    if "RocksDB" not in old:
+        with pytest.raises(ValueError):
+            ema_event_time(stream)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        made = ema_event_time(stream, "1 hour", 0.2, 0.5)
+        q = made.writeStream.format("memory").queryName("ema_in_order").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        dropped = sum(o.numRowsDroppedByWatermark for p in q.recentProgress for o in p.stateOperators)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    last = {}
+    for r in spark.table("ema_in_order").collect():
+        last[r["key"]] = max(last.get(r["key"], (0, 0.0, 0)), (r["steps"], r["utility"], r["late"]))
+    want = {}
+    for key, _, reward, _ in sorted((r for r in rows if r[1] < 900), key=lambda r: (r[3], r[1])):
+        n, u = want.get(key, (0, 0.5))
+        want[key] = (n + 1, u + 0.2 * (reward - u))
+    assert {k: v[:2] for k, v in last.items() if k in want} == {k: (n, pytest.approx(u)) for k, (n, u) in want.items()}
+    assert dropped + sum(v[2] for v in last.values()) >= 1
 
 
 def test_annotation_array_and_responses(spark, tmp_path):
