@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.functions.rules import BASELINE_ANSWER
+from engram.functions import stage_rules
 from engram.functions.vector import hash_embed
 
 
@@ -23,12 +23,13 @@ class Backend:
 
 
 def rules(dim: int = 64) -> Backend:
-    """The deterministic default: no reply but the baseline's, hashed embeddings. The stages' rules are Columns of their own."""
-    return Backend("rules", lambda prompt: F.when(prompt.isNotNull(), F.lit(BASELINE_ANSWER)), lambda df, keys, text: hash_embed(df, keys, text, dim))
+    """The deterministic default: each stage's prompt gets what its rules reply, texts get hashed embeddings."""
+    return Backend("rules", stage_rules.reply, lambda df, keys, text: hash_embed(df, keys, text, dim))
 
 
 def functions(load: Callable[[], tuple[Callable[[list[str]], list[str]], Callable[[list[str]], list[list[float]]]]]) -> Backend:
-    """A backend of batch functions; load runs once in each Python worker and returns (generate, embed)."""
+    """A backend of batch functions; load runs once in each task and returns (generate, embed). ``operators.replies`` asks each prompt once and
+    keeps what was answered."""
 
     @F.pandas_udf("string")
     def generate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
