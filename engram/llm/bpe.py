@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm.common import claim, documents, integer_ids
+from engram.llm.common import claim, documents, give_back, integer_ids
 from engram.llm.units import Cutter, Memory, by_parts, data_of, joined, offsets, pieces
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,6 +40,8 @@ TOKENIZER = "byte_bpe_50k.json"
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Units, and parts of units, remembered in a worker.
 KNOWN, KNOWN_PARTS = 200_000, 500_000
+#: Pairs of tokens whose compatibility is remembered.
+KNOWN_PAIRS = 250_000
 #: Characters of texts that are in work at once.
 AT_ONCE = 1 << 20
 #: Parts that are one pre-token: a word, or marks.
@@ -111,7 +113,7 @@ class Bpe:
     def compatible(self, a: int, b: int) -> bool:
         found = self._pairs.get((a, b))
         if found is None:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) >= KNOWN_PAIRS:
                 self._pairs.clear()
             found = self._pairs[a, b] = self._apart(a, b)
         return found
@@ -244,6 +246,8 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                         ids_sha.append(ids_hash.hexdigest())
                         text_sha.append(text_hash.hexdigest())
                         n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+                del ids, digits, raw
+                give_back(collect=False)  # else Arrow's pool keeps several times what is in work
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names)
 
     return integer_ids(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -108,9 +108,10 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
     _memories[owner] = clear
 
 
-def give_back() -> None:
-    """Return freed memory of Python, Arrow and the C library to the system."""
-    gc.collect()
+def give_back(collect: bool = True) -> None:
+    """Return freed memory of Python, Arrow and the C library to the system; without ``collect`` it takes a few milliseconds."""
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim:
