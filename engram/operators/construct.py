@@ -20,7 +20,8 @@ def build_notes(facts: DataFrame, p: Params = Params(), backend: Backend | None
     rows = facts.withColumn("_f", made).select("*", "_f.*").drop("_f")
     text = embedding_text(F.col("content"), F.col("keywords"), F.col("tags"), F.col("description"))
     keys = ["bank_id", "id"]
-    e = backend.embed(rows, keys, text)
-    z = backend.embed(rows, keys, F.col("content")).withColumnRenamed("embedding", "intent")
-    full = rows.join(e, keys).join(z, keys).withColumn("links", F.array().cast("array<string>")).withColumn("utility", F.lit(p.q0))
+    e = backend.embed(rows, keys, text).toDF("e_bank", "e_id", "embedding")
+    z = backend.embed(rows, keys, F.col("content")).toDF("z_bank", "z_id", "intent")
+    same = lambda k: F.col("bank_id").eqNullSafe(F.col(f"{k}_bank")) & (F.col("id") == F.col(f"{k}_id"))  # noqa: E731  a null bank is a bank
+    full = rows.join(e, same("e")).join(z, same("z")).withColumn("links", F.array().cast("array<string>")).withColumn("utility", F.lit(p.q0))
     return full.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NOTE])

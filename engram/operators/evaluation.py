@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions.text import normalized
-from engram.functions.vector import cosine, hash_embed, lcs_f
+from engram.functions.vector import lcs_f
+from engram.operators.token_match import token_match
 
 METRICS = ("em", "rougeL", "bertscore_f1")
 
@@ -21,7 +22,7 @@ def compute_metrics(rows: DataFrame, metrics: Iterable[str] = METRICS, by: tuple
     """rows (by..., prediction, reference) -> (by..., the metrics asked for); a metric over no rows is 0.
 
     rougeL is the mean F of longest common subsequences. bertscore_f1 needs a neural model that is not here; it is
-    stood in for by the cosine of hashed token embeddings, and named so in the README."""
+    stood in for by the F of greedily matched tokens (token_match), and named so in the README."""
     asked = list(metrics)
     unknown = set(asked) - set(METRICS)
     if unknown:
@@ -31,8 +32,7 @@ def compute_metrics(rows: DataFrame, metrics: Iterable[str] = METRICS, by: tuple
     if "bertscore_f1" in asked:
         keyed = rows.withColumn("_id", F.sha2(F.to_json(F.struct("prediction", "reference"), {"ignoreNullFields": "false"}), 256))
         pairs = keyed.select("_id", "prediction", "reference").dropDuplicates(["_id"])
-        p, r = (hash_embed(pairs, ["_id"], F.col(c)).withColumnRenamed("embedding", f"_{c}") for c in ("prediction", "reference"))
-        near = p.join(r, "_id").select("_id", cosine(F.col("_prediction"), F.col("_reference")).alias("_near"))
+        near = token_match(pairs, "_id").select("_id", F.col("f").alias("_near"))
         scored, value["bertscore_f1"] = keyed.join(near, "_id"), F.col("_near")
     return scored.groupBy(*by).agg(*[F.coalesce(F.avg(value[m]), F.lit(0.0)).alias(m) for m in asked])
 
@@ -63,6 +63,6 @@ def annotation_set(items: DataFrame, predictions: DataFrame, seed: int = 42) ->
     labels = predictions.select("label").distinct()
     grid = items.select("id").crossJoin(F.broadcast(labels))  # labels are the few systems compared
     answers = grid.join(predictions, ["id", "label"], "left").withColumn("answer", F.coalesce("prediction", F.lit("")))
-    lot = F.xxhash64(F.lit(seed), "id", "label")
+    lot = F.md5(F.concat_ws(":", F.lit(seed), "id", "label"))
     systems = answers.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(lot.alias("lot"), "label", "answer"))), lambda s: F.struct(s["label"].alias("label"), s["answer"].alias("answer"))).alias("systems"))
     return items.join(systems, "id").select("id", "query", "history", F.col("answer").alias("reference"), "systems")

@@ -16,7 +16,7 @@ from engram.plans.registry import query, table
 from engram.plans.text_queries import NOTES_SQL, text_bank, turns
 from engram.schema import NOTE
 from engram.shared import fresh_path
-from engram.sources.files import read_jsonl, read_predictions, read_results, write_jsonl
+from engram.sources.files import annotation_array, note_json, notes_from_json, read_annotations, read_jsonl, read_predictions, read_results, responses, write_jsonl
 
 
 @query(f"WITH {ITEMS_SQL} SELECT conv_id::VARCHAR AS id, md5(query) AS query, md5(answer) AS answer, md5(coalesce(history, '')) AS history FROM items")
@@ -134,6 +134,44 @@ def baseline_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.baseline_prompts(asked, candidates, "{query}\n{context}").select("query_id", F.md5("prompt").alias("prompt"))
 
 
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS written, epoch_us(ts) AS us FROM events""")
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of notes in their JSON form, and read from it again."""
+    e = table(spark, sf_dir, "events").withColumn("id", F.col("event_id").cast("string"))
+    notes = e.select(*[(F.col(f.name) if f.name in ("id", "ts") else F.lit(None)).cast(f.dataType).alias(f.name) for f in NOTE])
+    made = note_json(notes)
+    back = notes_from_json(made.select("json")).select("id", F.unix_micros("ts").alias("us"))
+    return made.select("id", F.get_json_object("json", "$.t").alias("written")).join(back, "id").select(F.col("id").cast("long").alias("event_id"), "written", "us")
+
+
+@query("""SELECT conv_id, turn, sha256('{"bank_id":"' || conv_id || '","ts":null,"content":' || to_json(text) || ',"write_seq":' || turn || '}') AS id FROM conversations""")
+def note_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that a fact has again whenever it is worked on again."""
+    c = table(spark, sf_dir, "conversations")
+    facts = c.select(F.col("conv_id").cast("string").alias("bank_id"), F.lit(None).cast("timestamp").alias("ts"), F.col("text").alias("content"), F.col("turn").alias("write_seq"), "conv_id", "turn")
+    return payloads.with_ids(facts).select("conv_id", "turn", "id")
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT conv_id::VARCHAR AS id, md5(query) AS query, md5(coalesce(history, '')) AS history, md5(answer) AS reference, system AS label, md5(prediction) AS answer,
+  row_number() OVER (PARTITION BY conv_id ORDER BY md5('42:' || conv_id || ':' || system)) AS place FROM items JOIN predictions USING (conv_id)""")
+def annotation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An annotation set as the JSON array that annotators load, written and read again."""
+    path = fresh_path(spark, "annotations")
+    made = ev.annotation_set(items(spark, sf_dir).withColumn("id", F.col("id").cast("string")), predictions(spark, sf_dir).withColumn("id", F.col("id").cast("string")))
+    annotation_array(made).write.text(path)
+    back = read_annotations(spark, path).select("id", "query", "history", "reference", F.posexplode("systems").alias("at", "s"))
+    return back.select("id", F.md5("query").alias("query"), F.md5(F.array_join("history", "\n")).alias("history"), F.md5("reference").alias("reference"), "s.label", F.md5("s.answer").alias("answer"), (F.col("at") + 1).cast("long").alias("place"))
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT conv_id AS id, label, (conv_id % 5 + len(label)) / 8.0::DOUBLE AS score FROM items, (SELECT unnest(['no_memory', 'full_context', 'last_history']) AS label) WHERE conv_id % 4 <> 0
+UNION ALL SELECT conv_id, '', -1.0 FROM items WHERE conv_id % 4 = 0""")
+def annotation_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of people joined to the items that they were shown; a quarter of the items has none."""
+    made = ev.annotation_set(items(spark, sf_dir), predictions(spark, sf_dir))
+    given = made.where("id % 4 <> 0").select("id", F.explode("systems.label").alias("label")).withColumn("score", (F.col("id") % 5 + F.length("label")) / 8.0)
+    return responses(made, given).select("id", F.explode_outer("responses").alias("label", "score")).na.fill({"label": "", "score": -1.0})
+
+
 @query("SELECT conv_id || '-' || turn AS id FROM conversations WHERE role = 'user' AND turn % 4 IN (0, 1)")
 def attribute_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes tagged by role and keyed by the place of their turn, filtered by both."""

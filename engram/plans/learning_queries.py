@@ -10,6 +10,7 @@ from engram.functions.vector import hash_weights
 from engram.operators import evaluation as ev
 from engram.operators import utility
 from engram.operators.replay import replay
+from engram.operators.token_match import token_match
 from engram.plans.registry import query, table
 from engram.profiling import stage_means
 from engram.schema import Params
@@ -136,6 +137,31 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.compute_metrics(rows, ["em", "rougeL", "bertscore_f1"], ("label",))
 
 
+MATCH_SQL = f"""{ITEMS_SQL},
+scored AS (SELECT row_number() OVER () AS pair, conv_id, system, prediction, answer FROM predictions JOIN items USING (conv_id)),
+said AS (SELECT pair, side, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS token FROM (SELECT pair, 0 AS side, prediction AS t FROM scored UNION ALL SELECT pair, 1, answer FROM scored)),
+refs AS (SELECT DISTINCT answer FROM scored),
+df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(answer), '[a-z0-9]+'))) AS token FROM refs) GROUP BY token),
+weighed AS (SELECT pair, side, token, count(*) * (1 + ln(((SELECT count(*) FROM refs) + 1.0) / (coalesce(any_value(df), 0) + 1))) AS weight FROM said LEFT JOIN df USING (token) GROUP BY pair, side, token),
+grams AS (SELECT token, ('0x' || right(md5(substr('<' || token || '>', i::INT, 3)), 2))::INT AS place, count(*) AS n
+  FROM (SELECT token, unnest(range(1, len(token) + 1)) AS i FROM (SELECT DISTINCT token FROM weighed)) GROUP BY ALL),
+units AS (SELECT token, place, n / sqrt(sum(n * n) OVER (PARTITION BY token)) AS x FROM grams),
+alike AS MATERIALIZED (SELECT a.token AS p, b.token AS r, sum(a.x * b.x) AS sim FROM units a JOIN units b ON b.place = a.place GROUP BY ALL),
+met AS (SELECT a.pair, a.token AS p, b.token AS r, coalesce(sim, 0) AS sim FROM weighed a JOIN weighed b ON b.pair = a.pair AND a.side = 0 AND b.side = 1 LEFT JOIN alike ON alike.p = a.token AND alike.r = b.token),
+precise AS (SELECT m.pair, sum(best * weight) / sum(weight) AS x FROM (SELECT pair, p, max(sim) AS best FROM met GROUP BY ALL) m JOIN weighed w ON w.pair = m.pair AND w.side = 0 AND w.token = m.p GROUP BY m.pair),
+recalled AS (SELECT m.pair, sum(best * weight) / sum(weight) AS x FROM (SELECT pair, r, max(sim) AS best FROM met GROUP BY ALL) m JOIN weighed w ON w.pair = m.pair AND w.side = 1 AND w.token = m.r GROUP BY m.pair)"""
+
+
+@query(f"""WITH {MATCH_SQL} SELECT conv_id AS id, system AS label, round(coalesce(a.x, 0), 6) AS precision, round(coalesce(b.x, 0), 6) AS recall,
+  round(CASE WHEN coalesce(a.x + b.x, 0) > 0 THEN 2 * a.x * b.x / (a.x + b.x) ELSE 0 END, 6) AS f
+FROM scored LEFT JOIN precise a ON a.pair = scored.pair LEFT JOIN recalled b ON b.pair = scored.pair""")
+def token_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy matching of the tokens of each prediction and its reference, in both directions."""
+    rows = predictions(spark, sf_dir).join(items(spark, sf_dir).select("id", F.col("answer").alias("reference")), "id")
+    keyed = rows.withColumn("pair", F.concat_ws(":", "id", "label"))
+    return token_match(keyed).join(keyed.select("pair", "id", "label"), "pair").select("id", "label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
+
+
 RUNS_SQL = f"""runs AS (SELECT event_type || '/' || user_id AS run, ['em', 'rougeL', 'bertscore_f1', 'other'][(event_id % 4 + 1)::INT] AS metric, avg({REWARD_SQL}) AS value FROM events GROUP BY ALL)"""
 
 
@@ -156,6 +182,13 @@ def annotation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", F.explode("systems").alias("s")).select("id", "s.label", F.md5("s.answer").alias("answer"))
 
 
+@query(f"""WITH {ITEMS_SQL} SELECT conv_id AS id, system AS label, row_number() OVER (PARTITION BY conv_id ORDER BY md5('42:' || conv_id || ':' || system)) AS place FROM predictions""")
+def annotation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which an item's systems stand, which the seed alone decides."""
+    made = ev.annotation_set(items(spark, sf_dir), predictions(spark, sf_dir))
+    return made.select("id", F.posexplode("systems").alias("at", "s")).select("id", "s.label", (F.col("at") + 1).cast("long").alias("place"))
+
+
 @query("SELECT user_id::VARCHAR AS id, arg_max(event_type, event_id) AS prediction FROM events GROUP BY user_id")
 def predictions_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("prediction"), F.col("event_id").alias("line"))

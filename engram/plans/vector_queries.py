@@ -206,6 +206,22 @@ def note_field_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", note_fields(F.col("text")).alias("f")).select("doc_id", _sorted("f.keywords").alias("keywords"), _sorted("f.tags").alias("tags"), F.md5("f.description").alias("description"))
 
 
+def _in_order(items: str) -> str:
+    """The first of each item of a list, in its order."""
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+
+
+#: The fields of notes with their lists in order.
+ORDERED_SQL = FIELDS_SQL.replace("list_distinct(CASE", "(CASE")
+
+
+@query(f"""WITH {ORDERED_SQL} SELECT doc_id, array_to_string({_in_order("keywords")}, ',') AS keywords, array_to_string({_in_order("tags")}, ',') AS tags FROM fields""")
+def note_field_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords and tags as the rules list them: each once, where it comes first."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", note_fields(F.col("text")).alias("f")).select("doc_id", F.array_join("f.keywords", ",").alias("keywords"), F.array_join("f.tags", ",").alias("tags"))
+
+
 @query(f"""WITH {NEAR_SQL}, {FIELDS_SQL}
 SELECT src, dst, array_to_string(list_sort(list_distinct(list_concat(o.keywords, n.keywords))), ',') AS keywords,
   array_to_string(list_sort(list_distinct(list_concat(o.tags, n.tags))), ',') AS tags,
