@@ -27,3 +27,21 @@ def test_training_prompts(spark):
     rows = spark.createDataFrame([("q?", [("n1", "c")], "Gold")], "query string, candidates array<struct<id string, content string>>, gold_answer string")
     row = prompts(rows).withColumn("r", reward(F.lit(" gold"), F.col("gold_answer"))).first()
     assert 'Query: q?\nCandidates: [{"id":"n1","content":"c"}]\n' in row["prompt"] and row["r"] == 1.0
+
+
+def test_one_note_answers_as_a_replayed_bank_does(spark):
+    from engram.operators.replay import Memory
+
+    said = ["My name is Alex.", "I work as a scientist.", "I have a dog named Rex.", "tea and cake", "what is that?", ""]
+    asks = ["What is my name?", "What is my job?", "Which dogs do I have?", "tea", "", "zebra"]
+    rows = [("d", f"{i}-{j}", q, "", ["old", h]) for i, q in enumerate(asks) for j, h in enumerate(said)] + [("d", f"{i}", q, None, []) for i, q in enumerate(asks)]
+    for delta in (0.0, 0.1, 0.5):
+        p = Params(delta=delta)
+        got = {r["id"]: r["prediction"] for r in run_systems(spark.createDataFrame(rows, ITEMS), p, ["value_retrieval_only"]).collect()}
+        want = {}
+        for _, i, q, _, history in rows:
+            memory = Memory(p)
+            if history:
+                memory.put(memory.build("n0", history[-1]))
+            want[i] = memory.answer(q)[1]
+        assert got == want
