@@ -10,7 +10,7 @@ from engram.functions.json_fields import evolve_reply, parse_relations
 from engram.functions.vector import lcs_f
 from engram.operators import bank as banks
 from engram.operators import evaluation as ev
-from engram.operators import payloads
+from engram.operators import payloads, postings
 from engram.plans.learning_queries import ITEMS_SQL, RUNS_SQL, items, predictions, reward
 from engram.plans.registry import query, table
 from engram.plans.text_queries import NOTES_SQL, text_bank, turns
@@ -172,6 +172,28 @@ def annotation_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses(made, given).select("id", F.explode_outer("responses").alias("label", "score")).na.fill({"label": "", "score": -1.0})
 
 
+@query("SELECT conv_id || '-' || turn AS id FROM conversations WHERE role = 'user' AND turn % 4 IN (0, 1)")
+def postings_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same filter from a saved inverted index, of which the words asked for are read."""
+    keyed = turns(spark, sf_dir).select("bank_id", "id", F.col("seq").alias("write_seq"), F.array(F.concat(F.lit("K"), F.col("seq") % 4)).alias("keywords"), F.array("role").alias("tags"))
+    path = fresh_path(spark, "postings")
+    postings.save(postings.build(keyed), path)
+    return postings.matching(spark.read.parquet(path), keywords=["k0", "K1"], tags=["USER", "none"]).select("id")
+
+
+@query("""SELECT kind, word, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (
+  SELECT DISTINCT 'keywords' AS kind, lower(unnest(regexp_extract_all(text, '[A-Za-z]+')[1:2])) AS word, conv_id || '-' || turn AS id FROM conversations WHERE turn <> 1
+  UNION ALL SELECT 'tags', role, conv_id || '-' || turn FROM conversations WHERE turn <> 1
+  UNION ALL SELECT 'tags', 'changed', conv_id || '-' || turn FROM conversations WHERE turn = 1) GROUP BY ALL""")
+def postings_after_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index after each bank's second note has been given another tag and no keyword."""
+    words = F.slice(F.regexp_extract_all("content", F.lit("[A-Za-z]+"), F.lit(0)), 1, 2)
+    notes = turns(spark, sf_dir).select("bank_id", "id", F.col("seq").alias("write_seq"), words.alias("keywords"), F.array("role").alias("tags"))
+    changed = notes.where("write_seq = 1").withColumns({"keywords": F.array().cast("array<string>"), "tags": F.array(F.lit("Changed"))})
+    after = postings.extended(postings.build(notes), changed)
+    return after.groupBy("kind", "word").agg(F.max("n").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+
+
 @query("SELECT conv_id || '-' || turn AS id FROM conversations WHERE role = 'user' AND turn % 4 IN (0, 1)")
 def attribute_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes tagged by role and keyed by the place of their turn, filtered by both."""
