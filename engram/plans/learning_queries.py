@@ -12,7 +12,7 @@ from engram.operators import utility
 from engram.operators.replay import replay
 from engram.operators.token_match import token_match
 from engram.plans.registry import query, table
-from engram.profiling import stage_means
+from engram.profiling import StageWatch, stage_means
 from engram.schema import Params
 
 #: The reward of each kind of event.
@@ -201,6 +201,18 @@ def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_means(times).select("stage", F.round("mean_ms", 6).alias("mean_ms"))
 
 
+@query(f"""WITH {STEPS_SQL}, utilities AS (SELECT user_id, pow(0.9, count(*)) * 0.5 + sum(r * 0.1 * pow(0.9, n - i)) AS q FROM steps GROUP BY user_id)
+SELECT 'reward' AS stage, count(*) AS rows FROM events UNION ALL SELECT 'update', count(*) FROM utilities
+UNION ALL SELECT 'keep', count(*) FROM utilities WHERE round(q, 6) >= 0.3""")
+def stage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What passes each stage from rewards to the useful keys, counted in the run that works the keys out."""
+    watch = StageWatch()
+    rows = watch.at("reward", rewards(spark, sf_dir))
+    utilities = watch.at("update", utility.ema(rows))
+    watch.at("keep", utilities.where(F.round("utility", 6) >= 0.3)).write.format("noop").mode("overwrite").save()
+    return watch.frame(spark).select("stage", "rows")
+
+
 @query(f"""SELECT event_type AS run, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS std FROM (SELECT event_type, user_id % 5 AS seed, avg(value) AS m FROM events GROUP BY ALL) GROUP BY event_type""")
 def seeds_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_seed = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 5).alias("seed")).agg(F.avg("value").alias("m"))
