@@ -2,8 +2,10 @@
 
 The model is counted by Spark over labelled documents: how often each word, and each character n-gram of a padded word,
 occurs in each language. To bound the model, training takes about SAMPLE documents of each language (all of a smaller one;
-a hash of the id decides), and keeps the WORDS most frequent words and GRAMS most frequent n-grams of a language. Every language
-of the labelled rows is learned, however rare; more than MOST_LANGUAGES of them are an error.
+a hash of the id decides, of the text where there is no id), and keeps the WORDS most frequent words and GRAMS most frequent n-grams of
+each length of a language, or fewer of each where many languages would make it more than PIECES in all. So whatever the corpus, the driver
+gets a row a language and PIECES rows, ranked and cut by Spark, and broadcasts a model of that size. Every language of the labelled rows is
+learned, however rare; more than MOST_LANGUAGES of them, several times as many as are written, are an error.
 
 A word known in any language scores by its log frequency in each. An unseen word backs off: the longest n for which any of
 its n-grams is known decides, by the mean log frequency of these n-grams, weighted below a known word. The language with
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 from engram.llm.bpe import parts
 from engram.llm.common import claim, documents, integer_ids
 
-SAMPLE, WORDS, GRAMS, MAX_N, MOST_LANGUAGES = 2000, 10_000, 10_000, 5, 5000
+SAMPLE, WORDS, GRAMS, MAX_N = 2000, 10_000, 10_000, 5
+PIECES, MOST_LANGUAGES = 1_000_000, 50_000
 #: An unseen word counts this much of a known one; what a language lacks has this count.
 UNSEEN, LACKING = 0.5, 0.5
 #: Scores of tokens kept in a worker: at most so many tokens, and numbers in all.
@@ -58,15 +61,16 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["lang", "n", "piece", "c"]
+    """(lang, text, times) -> counts of words (n = 0) and n-grams by language."""
+    names, types = ["lang", "n", "piece", "c"], (pa.int32(), pa.int32(), pa.string(), pa.int64())
     for whole in batches:
         for b in parts(whole):
-            words: dict[str, Counter] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            words: dict[int, Counter] = {}
+            for lang, text, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens = words.setdefault(lang, Counter())
                 for t, c in Counter(text.split()).items():
                     for w in pieces(t):
-                        tokens[w] += c
+                        tokens[w] += c * times
             rows = []
             for lang, tokens in words.items():
                 found = {n: Counter() for n in range(1, MAX_N + 1)}
@@ -77,36 +81,39 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             found[n][g] += c
                 rows += [(lang, n, g, c) for n, counts in found.items() for g, c in counts.items()]
             columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
 class Model:
     """Log frequencies of words (n = 0) and n-grams in each language."""
 
-    def __init__(self, languages: list[str], shares: list[float], rows: list[tuple[int, int, str, int]], totals: dict[tuple[int, int], int]):
+    def __init__(self, languages: list[str], shares: list[float], rows: pa.Table | list[tuple[int, int, str, int]], totals: dict[tuple[int, int], int]):
+        """rows (lang, n, piece, c): how often a language, by its place in ``languages``, has a piece."""
         self.languages = languages
         self.common = int(np.argmax(shares)) if shares else 0
-        counts: list[dict[str, dict[int, int]]] = [{} for _ in range(MAX_N + 1)]
-        for lang, n, piece, c in rows:
-            counts[n].setdefault(piece, {})[lang] = c
+        if not isinstance(rows, pa.Table):
+            rows = pa.table(dict(zip(("lang", "n", "piece", "c"), zip(*rows, strict=True), strict=True)) if rows else {k: [] for k in ("lang", "n", "piece", "c")})
         #: By n: the row of each piece. A row is sparse: what each language that has the piece scores above the floor of n.
         self.index: list[dict[str, int]] = []
         begin, columns, above, floors, counts_of = 1, [], [], [np.zeros(1)], [np.zeros(1, np.int64)]
         self.begin = [begin]
-        for n, found in enumerate(counts):
+        for n in range(MAX_N + 1):
+            own = rows.filter(pc.equal(rows["n"], n)).sort_by([("piece", "ascending"), ("lang", "ascending")])
+            code = own["lang"].to_numpy().astype(np.int64)
             total = np.array([max(totals.get((k, n), 0), 1.0) for k in range(len(languages))])
             # One floor for all languages, so that one with few training words gains nothing by what it lacks.
             floor = np.log(LACKING / total.max(initial=1.0))
-            self.index.append({piece: row for row, piece in enumerate(found)})
-            columns += [k for by in found.values() for k in by]
-            above += [x for by in found.values() for x in np.log(np.array(list(by.values())) / total[list(by)]) - floor]
-            floors.append(np.full(len(found), floor))
-            counts_of.append(np.array([len(by) for by in found.values()], dtype=np.int64))
-            begin += len(found)
+            by_piece = pc.run_end_encode(own["piece"].combine_chunks())
+            self.index.append({piece: row for row, piece in enumerate(by_piece.values.to_pylist())})
+            columns.append(code)
+            above.append(np.log(own["c"].to_numpy().astype(np.float64) / total[code]) - floor)
+            counts_of.append(np.diff(by_piece.run_ends.to_numpy().astype(np.int64), prepend=0))
+            floors.append(np.full(len(counts_of[-1]), floor))
+            begin += len(counts_of[-1])
             self.begin.append(begin)
         #: All rows: where each ends, which languages it has, what they score above its floor.
         self.ends = np.cumsum(np.concatenate(counts_of))
-        self.columns, self.above, self.floors = np.array(columns, dtype=np.int64), np.array(above, dtype=np.float64), np.concatenate(floors)
+        self.columns, self.above, self.floors = np.concatenate(columns), np.concatenate(above), np.concatenate(floors)
         self.remembered = max(1, min(REMEMBERED, NUMBERS // max(1, len(languages))))
         self.forget()
 
@@ -187,15 +194,16 @@ class Model:
     def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text."""
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        usable = [k for k, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
-        if not usable:
-            return out
-        sums = self._sums([texts[k] for k in usable])
-        best = np.where(np.any(sums != 0, axis=1), np.argmax(sums, axis=1), self.common)
-        share = np.exp(sums - sums.max(axis=1, keepdims=True))
-        score = share[np.arange(len(best)), best] / share.sum(axis=1)
-        for k, lang, x in zip(usable, best.tolist(), score.tolist(), strict=True):
-            out[k] = (self.languages[lang], x)
+        all_usable = [k for k, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
+        most = max(1, NUMBERS // max(1, len(self.languages)))
+        for low in range(0, len(all_usable), most):
+            usable = all_usable[low : low + most]
+            sums = self._sums([texts[k] for k in usable])
+            best = np.where(np.any(sums != 0, axis=1), np.argmax(sums, axis=1), self.common)
+            share = np.exp(sums - sums.max(axis=1, keepdims=True))
+            score = share[np.arange(len(best)), best] / share.sum(axis=1)
+            for k, lang, x in zip(usable, best.tolist(), score.tolist(), strict=True):
+                out[k] = (self.languages[lang], x)
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -213,19 +221,22 @@ def train(docs: DataFrame, labelled: Column) -> bytes:
     n_docs = {r["lang"]: r["n"] for r in per_lang}
     if not languages:
         return pickle.dumps(Model([], [], [], {}))
-    share = spark.createDataFrame([(r["lang"], min(1.0, SAMPLE / r["n"])) for r in per_lang], "lang string, share double")
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.join(F.broadcast(share), "lang").where(lot < F.col("share")).select("lang", "text")  # at most MOST_LANGUAGES rows
-    counts = sample.mapInArrow(_count, "lang string, n int, piece string, c long").groupBy("lang", "n", "piece").agg(F.sum("c").alias("c"))
+    code = {lang: k for k, lang in enumerate(languages)}
+    share = spark.createDataFrame([(r["lang"], code[r["lang"]], min(1.0, SAMPLE / r["n"])) for r in per_lang], "lang string, code int, share double")
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    lot = F.pmod(key, F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.join(F.broadcast(share), "lang").where(lot < F.col("share"))  # at most MOST_LANGUAGES rows
+    # Texts that repeat are read once, so that a text with one lot for very many rows costs no more than its length.
+    texts = sample.groupBy("code", "text").agg(F.count("*").alias("times"))
+    counts = texts.mapInArrow(_count, "lang int, n int, piece string, c long").groupBy("lang", "n", "piece").agg(F.sum("c").alias("c"))
     best = W.partitionBy("lang", "n").orderBy(F.desc("c"), "piece")
     whole = W.partitionBy("lang", "n")
-    top = counts.withColumn("total", F.sum("c").over(whole)).withColumn("k", F.row_number().over(best)).where(F.col("k") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS))
-    code = {lang: k for k, lang in enumerate(languages)}
-    found, totals = [], {}
-    rows = top.select("lang", "n", "piece", "c", "total").toArrow()  # at most WORDS + MAX_N * GRAMS a language
-    for lang, n, piece, c, total in sorted(zip(*(x.to_pylist() for x in rows.columns), strict=True)):
-        found.append((code[lang], n, piece, c))
-        totals[code[lang], n] = total
+    each = max(1, PIECES // (len(languages) * (MAX_N + 1)))
+    most = F.when(F.col("n") == 0, min(WORDS, each)).otherwise(min(GRAMS, each))
+    top = counts.withColumn("total", F.sum("c").over(whole)).withColumn("k", F.row_number().over(best)).where(F.col("k") <= most)
+    found = top.select("lang", "n", "piece", "c", "total").toArrow()  # at most PIECES rows, or MAX_N + 1 a language
+    totals = found.group_by(["lang", "n"]).aggregate([("total", "max")])
+    totals = {(r["lang"], r["n"]): r["total_max"] for r in totals.to_pylist()}
     return pickle.dumps(Model(languages, [n_docs[x] for x in languages], found, totals))
 
 
