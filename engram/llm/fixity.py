@@ -14,6 +14,8 @@ only page_id, url and html are read. An archive known to one side only is found
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from engram.llm.common import integer_ids, written
 
 #: Hex digits that name an archive, bytes of a leaf's range, children of a node, levels above the leaves at least.
 DIGITS, RANGE, FANOUT, LEVELS = 2, 65536, 64, 3
-#: Ranges of ids in which offsets are summed up; what stands for a null id there.
+#: Ranges of ids, between approximate percentiles, in which offsets are summed up; what stands for a null id there.
 RANGES, NO_ID = 1024, -(1 << 63)
 
 
@@ -54,9 +56,7 @@ def placed(rows: DataFrame) -> DataFrame:
     # Running sums in three steps: records of one id and first digit of the hash, these cells of a range of ids, ranges of an archive.
     # So neither an archive nor the copies of one id are in one task.
     hashed = written(hashed.withColumn("_id", F.coalesce("page_id", F.lit(NO_ID))).withColumn("_digit", F.substring("sha", 1, 1)), "hashed")
-    low, high = hashed.agg(F.min("page_id"), F.max("page_id")).first()
-    width = ((high or 0) - (low or 0) + 1) / RANGES
-    hashed = hashed.withColumn("_range", F.when(F.col("page_id").isNull(), -1).otherwise(F.floor((F.col("_id") - F.lit(float(low or 0))) / width)).cast("int"))
+    hashed = hashed.withColumn("_range", _range(_bounds(hashed)))
     cells = _before(hashed.groupBy("archive", "_range", "_id", "_digit").agg(F.sum("length").alias("n")), "n", ["archive", "_range"], "_id", "_digit")
     sums = _before(hashed.groupBy("archive", "_range").agg(F.sum("length").alias("n")), "n", ["archive"], "_range")
     own = _before(hashed, "length", ["archive", "_id", "_digit"], "sha", "length").withColumnRenamed("before", "own")
@@ -66,6 +66,23 @@ def placed(rows: DataFrame) -> DataFrame:
     return out.select(*rows.drop("record").columns, "sha", (F.col("own") + F.col("cell") + F.col("range")).alias("offset"))
 
 
+def _bounds(rows: DataFrame) -> list[int]:
+    """Percentiles of page_id, ascending: fewer than RANGES of them, so that ranges hold like numbers of records however ids lie."""
+    found = rows.agg(F.percentile_approx("page_id", [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).first()[0]
+    return sorted(set(found or []))
+
+
+def _range(bounds: list[int]) -> Column:
+    """A number that grows with page_id and is the same between two bounds, looked for in two steps; -1 for null."""
+    step = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    longs = [F.array(*map(F.lit, g)).cast("array<long>") for g in [*groups, []]]
+    tops = F.array(*[F.lit(g[-1]) for g in groups]).cast("array<long>")
+    skipped = F.size(F.filter(tops, lambda b: b < F.col("page_id")))
+    inner = F.element_at(F.array(*longs), skipped + 1)
+    return F.when(F.col("page_id").isNull(), -1).otherwise(skipped * step + F.size(F.filter(inner, lambda b: b < F.col("page_id"))))
+
+
 def _before(rows: DataFrame, value: str, within: list[str], *order: str) -> DataFrame:
     """rows with ``before``: the sum of the values that come before each in its partition."""
     before = W.partitionBy(*within).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
