@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engram.llm.bpe import parts
-from engram.llm.common import claim, documents, integer_ids
+from engram.llm.common import claim, documents, give_back, integer_ids
 
 SAMPLE, WORDS, GRAMS, MAX_N = 2000, 10_000, 10_000, 5
 PIECES, MOST_LANGUAGES = 1_000_000, 50_000
@@ -40,6 +40,8 @@ PIECES, MOST_LANGUAGES = 1_000_000, 50_000
 UNSEEN, LACKING = 0.5, 0.5
 #: Scores of tokens kept in a worker: at most so many tokens, and numbers in all.
 REMEMBERED, NUMBERS = 400_000, 20_000_000
+#: Texts that are in work at once.
+AT_ONCE = 1024
 #: Marks around a token that are no part of its words.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTER = regex.compile(r"\p{L}")
@@ -63,6 +65,7 @@ def grams(word: str, n: int) -> list[str]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text, times) -> counts of words (n = 0) and n-grams by language."""
     names, types = ["lang", "n", "piece", "c"], (pa.int32(), pa.int32(), pa.string(), pa.int64())
+    claim("lang_id", _models.clear)
     for whole in batches:
         for b in parts(whole):
             words: dict[int, Counter] = {}
@@ -82,6 +85,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows += [(lang, n, g, c) for n, counts in found.items() for g, c in counts.items()]
             columns = zip(*rows, strict=True) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            del words, rows, columns
+            give_back(collect=False)
 
 
 class Model:
@@ -253,16 +258,22 @@ def _loaded(model: bytes) -> Model:
     return _models[key]
 
 
+def _predicted(batches: Iterator[pa.RecordBatch], at: int, model: bytes) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, float]]]]:
+    """The rows in parts, with (language, score) of each row's text, the column ``at``."""
+    known = _loaded(model)
+    for whole in batches:
+        for b in parts(whole, AT_ONCE):
+            yield b, known.predict_all(b.column(at).to_pylist())
+            give_back(collect=False)  # else the pools keep several times what is in work
+
+
 def predict(docs: DataFrame, model: bytes) -> DataFrame:
     """(doc_id, lang_pred, score) for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _loaded(shared.value)
-        for whole in batches:
-            for b in parts(whole, 2048):
-                found = known.predict_all(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+        for b, found in _predicted(batches, 1, shared.value):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return integer_ids(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -274,11 +285,8 @@ def keep_identified(docs: DataFrame, model: bytes, least: float = 0.5) -> DataFr
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _loaded(shared.value)
-        for whole in batches:
-            for b in parts(whole, 2048):
-                found = known.predict_all(b.column(at).to_pylist())
-                yield b.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+        for b, found in _predicted(batches, at, shared.value):
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
