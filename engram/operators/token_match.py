@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions.text import tokens
+from engram.shared import written
 
 #: Places of a token's vector (one byte of a hash), characters of a gram; tokens whose vectors a worker remembers.
 PLACES, GRAM, KNOWN = 256, 3, 50_000
 _vectors: dict[str, np.ndarray] = {}
+#: Characters of texts whose tokens one task counts; tokens take many times the room of the packed texts by which Spark deals them out.
+CHARACTERS = 4_000_000
 
 
 def token_vector(token: str) -> np.ndarray:
@@ -55,11 +58,17 @@ def rarity(references: DataFrame) -> DataFrame:
     return words.crossJoin(F.broadcast(references.agg(F.count("*").alias("n")))).select("token", (1 + F.log((F.col("n") + 1.0) / (F.col("df") + 1))).alias("idf"), "n")  # one row
 
 
+def _spread(texts: DataFrame, key: str) -> DataFrame:
+    """texts by key in as many partitions as their characters ask for; a text's tokens are then counted where it is."""
+    characters = texts.agg(F.sum(F.length("prediction").cast("long") + F.length("reference"))).first()[0] or 0
+    return texts.repartition(max(1, -(-characters // CHARACTERS)), key)
+
+
 def token_match(pairs: DataFrame, key: str = "pair") -> DataFrame:
     """pairs (key, prediction, reference), keys distinct -> (key, precision, recall, f). Weights are of the distinct references given."""
-    texts = pairs.select(key, F.coalesce("prediction", F.lit("")).alias("prediction"), F.coalesce("reference", F.lit("")).alias("reference"))
+    texts = written(pairs.select(key, F.coalesce("prediction", F.lit("")).alias("prediction"), F.coalesce("reference", F.lit("")).alias("reference")), "texts")
     references = texts.select("reference").distinct()
-    sides = texts.select(key, F.explode(F.array(F.struct(F.lit(0).alias("side"), tokens(F.col("prediction")).alias("t")), F.struct(F.lit(1).alias("side"), tokens(F.col("reference")).alias("t")))).alias("s"))
+    sides = _spread(texts, key).select(key, F.explode(F.array(F.struct(F.lit(0).alias("side"), tokens(F.col("prediction")).alias("t")), F.struct(F.lit(1).alias("side"), tokens(F.col("reference")).alias("t")))).alias("s"))
     counts = sides.select(key, "s.side", F.explode("s.t").alias("token")).groupBy(key, "side", "token").agg(F.count("*").alias("c"))
     unseen = references.agg((1 + F.log(F.count("*") + 1.0)).alias("most"))
     weighed = counts.join(rarity(references).drop("n"), "token", "left").crossJoin(F.broadcast(unseen)).select(key, "side", "token", (F.col("c") * F.coalesce("idf", "most")).alias("weight"))  # one row
