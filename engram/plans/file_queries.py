@@ -16,7 +16,7 @@ from engram.plans.registry import query, table
 from engram.plans.text_queries import NOTES_SQL, text_bank, turns
 from engram.schema import NOTE
 from engram.shared import fresh_path
-from engram.sources.files import annotation_array, note_json, notes_from_json, read_annotations, read_jsonl, read_predictions, read_results, responses, write_jsonl
+from engram.sources.files import note_json, notes_from_json, read_annotations, read_jsonl, read_predictions, read_results, responses, write_annotations, write_jsonl
 
 
 @query(f"WITH {ITEMS_SQL} SELECT conv_id::VARCHAR AS id, md5(query) AS query, md5(answer) AS answer, md5(coalesce(history, '')) AS history FROM items")
@@ -158,8 +158,8 @@ def annotation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An annotation set as the JSON array that annotators load, written and read again."""
     path = fresh_path(spark, "annotations")
     made = ev.annotation_set(items(spark, sf_dir).withColumn("id", F.col("id").cast("string")), predictions(spark, sf_dir).withColumn("id", F.col("id").cast("string")))
-    annotation_array(made).write.text(path)
-    back = read_annotations(spark, path).select("id", "query", "history", "reference", F.posexplode("systems").alias("at", "s"))
+    write_annotations(made, path)
+    back = read_annotations(spark, path, lines=True).select("id", "query", "history", "reference", F.posexplode("systems").alias("at", "s"))
     return back.select("id", F.md5("query").alias("query"), F.md5(F.array_join("history", "\n")).alias("history"), F.md5("reference").alias("reference"), "s.label", F.md5("s.answer").alias("answer"), (F.col("at") + 1).cast("long").alias("place"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engram.schema import EVAL_ITEM, JSON_NAMES
+from engram.shared import delete, written
 
 DATASETS = ("longmemeval", "locomo", "personalmembench")
 
@@ -94,17 +95,41 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 ANNOTATION = "id string, query string, history array<string>, reference string, systems array<struct<label: string, answer: string>>"
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """An annotation set, a JSON array of items or one item on each line."""
-    return spark.read.schema(ANNOTATION).option("multiLine", True).json(path)
+def read_annotations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """An annotation set, a JSON array of items or one item on each line. ``lines``: an array as write_annotations lays it out, which is read
+    in as many tasks as it has splits; a malformed item is an error."""
+    if not lines:
+        return spark.read.schema(ANNOTATION).option("multiLine", True).json(path)
+    # Brackets alone are null and no item, wherever the filter is put.
+    item = F.when(~F.col("value").isin("]", "[]", ""), F.regexp_replace("value", r"^[\[,]", ""))
+    items = spark.read.text(path).select(item.alias("value")).where("value IS NOT NULL")
+    return items.select(F.from_json("value", ANNOTATION, {"mode": "FAILFAST"}).alias("j")).select("j.*")
+
+
+def _item_json() -> Column:
+    return F.to_json(F.struct("id", "query", "history", "reference", "systems"))
 
 
 def annotation_array(rows: DataFrame) -> DataFrame:
-    """(json): the set as one JSON array in the order of ids, the form that annotators load; a set is what people read through."""
-    items = F.array_sort(F.collect_list(F.struct("id", F.to_json(F.struct("id", "query", "history", "reference", "systems")).alias("item"))))
+    """(json): a set that is small enough for one row as one JSON array in the order of ids; write_annotations takes any."""
+    items = F.array_sort(F.collect_list(F.struct("id", _item_json().alias("item"))))
     return rows.agg(F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["item"]), ","), F.lit("]")).alias("json"))
 
 
+def write_annotations(rows: DataFrame, path: str) -> None:
+    """The set as one JSON array in the order of ids, the form that annotators load: an item a line, each but the first after a comma, in part
+    files that are the array when they are put together in the order of their names."""
+    made = written(rows.select("id", _item_json().alias("item")), "items")  # so that rows have the same places in both passes
+    placed = made.select(F.struct("id", F.monotonically_increasing_id().alias("n")).alias("at"), "item")  # the driver samples places, not items
+    first = placed.agg(F.min("at").alias("first"))  # one row
+    items = placed.crossJoin(F.broadcast(first)).select(
+        F.lit(0).alias("end"), "at", F.concat(F.when(F.col("at").eqNullSafe(F.col("first")), "[").otherwise(","), "item").alias("value")
+    )
+    end = first.select(F.lit(1).alias("end"), F.lit(None).cast(placed.schema["at"].dataType).alias("at"), F.when(F.col("first").isNull(), "[]").otherwise("]").alias("value"))
+    items.unionByName(end).orderBy("end", "at").select("value").write.text(path)
+    delete(made)
+
+
 def responses(annotations: DataFrame, given: DataFrame) -> DataFrame:
     """(id, query, systems, responses) of each item: given (id, label, score) as a map, empty where nobody answered."""
     per_item = given.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "score")))).alias("responses"))
