@@ -41,6 +41,12 @@ def _place(kind: int, seq: Column, name: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), seq.cast("long").alias("seq"), name.cast("string").alias("id")).cast(_PLACE)
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """The other side of a join of versions by bank and place or keyword: it has about as many rows as there are facts, so it is never
+    sent through the driver, however small its packed files are. Tables of a row a bank are left to Spark."""
+    return rows.hint("merge")
+
+
 def _end() -> Column:
     """After all versions."""
     return _place(2, F.lit(0), F.lit(""))
@@ -61,14 +67,14 @@ def _first_guess(words: DataFrame) -> DataFrame:
     ranked = words.withColumn("k", F.row_number().over(turn)).withColumn("m", F.greatest(F.sum((F.col("at.kind") == 0).cast("int")).over(by), F.lit(1)))
     back = ranked.select("bank", "keyword", (F.col("k") + F.col("m")).alias("k"), F.col("at").alias("before"))
     later = ranked.where("at.kind = 1").select(F.col("bank").alias("b"), "at", F.col("keyword").alias("w"), F.col("k").alias("i"))
-    met = later.join(back, F.col("b").eqNullSafe(F.col("bank")) & (F.col("w") == F.col("keyword")) & (F.col("i") == F.col("k")), "left")
+    met = later.join(_merged(back), F.col("b").eqNullSafe(F.col("bank")) & (F.col("w") == F.col("keyword")) & (F.col("i") == F.col("k")), "left")
     return met.groupBy(F.col("b").alias("bank"), "at").agg(F.min("before").alias("target"))
 
 
 def _decided(words: DataFrame, guess: DataFrame) -> DataFrame:
     """(bank, at, target) of every fact with a keyword, given a guess of all decisions."""
     deaths = guess.where("target IS NOT NULL").groupBy(F.col("bank").alias("d_bank"), F.col("target").alias("d_at")).agg(F.min("at").alias("death"))
-    lives = words.join(deaths, F.col("bank").eqNullSafe(F.col("d_bank")) & (F.col("at") == F.col("d_at")), "left").select("bank", "keyword", "at", F.coalesce("death", _end()).alias("death"))
+    lives = words.join(_merged(deaths), F.col("bank").eqNullSafe(F.col("d_bank")) & (F.col("at") == F.col("d_at")), "left").select("bank", "keyword", "at", F.coalesce("death", _end()).alias("death"))
     before = W.partitionBy("bank", "keyword").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     outlives = lives.withColumn("past", F.max("death").over(before)).where(F.col("past").isNull() | (F.col("death") > F.col("past")))
     spans = outlives.select("bank", "keyword", F.col("death").alias("time"), F.lit(0).alias("asks"), F.col("at").alias("version"))
@@ -112,7 +118,7 @@ def _fold(frame: pd.DataFrame) -> pd.DataFrame:
 def _rest(words: DataFrame, after: DataFrame, cuts: DataFrame) -> DataFrame:
     """(bank, at, target) of the facts of banks that are still open, from each bank's first unsettled one on; cuts (k_bank, cut)."""
     deaths = after.where("target IS NOT NULL").join(cuts, _same_bank("bank", "k_bank")).where("at < cut").select(F.col("bank").alias("d_bank"), F.col("target").alias("d_at"))
-    mine = words.join(cuts, _same_bank("bank", "k_bank")).drop("k_bank").join(deaths, _same_bank("bank", "d_bank") & (F.col("at") == F.col("d_at")), "left_anti")
+    mine = words.join(cuts, _same_bank("bank", "k_bank")).drop("k_bank").join(_merged(deaths), _same_bank("bank", "d_bank") & (F.col("at") == F.col("d_at")), "left_anti")
     place = F.when((F.col("at.kind") == 1) & (F.col("at") >= F.col("cut")), 1).otherwise(0)
     versions = mine.groupBy("bank", "at", place.alias("place")).agg(F.collect_set("keyword").alias("keywords"))
     kind = dict(words.dtypes)["bank"]
@@ -129,7 +135,7 @@ def targets(notes: DataFrame, facts: DataFrame, rounds: int = ROUNDS) -> DataFra
     for left in range(rounds, 0, -1):
         guess = written(guess, "guess")
         old = guess.select(F.col("bank").alias("o_bank"), F.col("at").alias("o_at"), F.col("target").alias("old"))
-        after = written(_decided(mine, guess).join(old, _same_bank("bank", "o_bank") & (F.col("at") == F.col("o_at"))).select("bank", "at", "target", "old"), "decided")
+        after = written(_decided(mine, guess).join(_merged(old), _same_bank("bank", "o_bank") & (F.col("at") == F.col("o_at"))).select("bank", "at", "target", "old"), "decided")
         # Before the first change of a bank all is settled, and so is that change itself.
         cuts = written(after.where(~F.col("target").eqNullSafe(F.col("old"))).groupBy(F.col("bank").alias("k_bank")).agg(F.min("at").alias("cut")), "open")
         made += [guess, after, cuts]
@@ -143,7 +149,7 @@ def targets(notes: DataFrame, facts: DataFrame, rounds: int = ROUNDS) -> DataFra
             guess = after.join(cuts, _same_bank("bank", "k_bank"), "left_semi").select("bank", "at", "target")
             mine = words.join(cuts, _same_bank("bank", "k_bank"), "left_semi")
     whole = functools.reduce(DataFrame.unionByName, parts).select(F.col("bank").alias("w_bank"), F.col("at").alias("w_at"), "target")
-    out = written(every.join(whole, _same_bank("bank", "w_bank") & (F.col("at") == F.col("w_at")), "left").select("bank", "at", "target"), "targets")
+    out = written(every.join(_merged(whole), _same_bank("bank", "w_bank") & (F.col("at") == F.col("w_at")), "left").select("bank", "at", "target"), "targets")
     delete(every, *made)
     return out
 
@@ -154,7 +160,7 @@ def chains(decided: DataFrame) -> DataFrame:
     steps = written(decided.select("bank", "at", fact.alias("up"), F.when(fact.isNull(), F.coalesce("target", "at")).alias("root")), "chains")
     while steps.where("root IS NULL").limit(1).count():
         above = steps.select(F.col("bank").alias("a_bank"), F.col("at").alias("a_at"), F.col("up").alias("a_up"), F.col("root").alias("a_root"))
-        met = steps.join(above, F.col("bank").eqNullSafe(F.col("a_bank")) & (F.col("up") == F.col("a_at")), "left")
+        met = steps.join(_merged(above), F.col("bank").eqNullSafe(F.col("a_bank")) & (F.col("up") == F.col("a_at")), "left")
         after = written(met.select("bank", "at", F.when(F.col("root").isNull(), F.col("a_up")).alias("up"), F.coalesce("root", "a_root").alias("root")), "chains")
         delete(steps)
         steps = after
@@ -166,11 +172,11 @@ def decide_in_order(notes: DataFrame, facts: DataFrame) -> DataFrame:
     root_kind is 0 where that note is one of the table."""
     decided = targets(notes, facts)
     roots = chains(decided).select(F.col("bank").alias("r_bank"), F.col("at").alias("r_at"), "root")
-    ops = decided.join(roots, F.col("bank").eqNullSafe(F.col("r_bank")) & (F.col("at") == F.col("r_at"))).select(
+    ops = decided.join(_merged(roots), F.col("bank").eqNullSafe(F.col("r_bank")) & (F.col("at") == F.col("r_at"))).select(
         "bank", "at", F.when(F.col("target").isNull(), "ADD").otherwise("UPDATE").alias("op"), "root"
     )
     own = facts.select("bank_id", "id", "seq", _place(1, F.col("seq"), F.col("id")).alias("_at"), F.coalesce("is_query", F.lit(False)).alias("_query"))
-    joined = own.join(ops, F.col("bank_id").eqNullSafe(F.col("bank")) & (F.col("_at") == F.col("at")) & ~F.col("_query"), "left")
+    joined = own.join(_merged(ops), F.col("bank_id").eqNullSafe(F.col("bank")) & (F.col("_at") == F.col("at")) & ~F.col("_query"), "left")
     return joined.select("bank_id", "id", "seq", F.when(F.col("_query"), "NOOP").otherwise(F.col("op")).alias("op"), F.col("root.id").alias("note_id"), F.col("root.kind").alias("root_kind"), F.col("root.seq").alias("root_seq"))
 
 
@@ -187,11 +193,11 @@ def write_in_order(notes: DataFrame, facts: DataFrame) -> DataFrame:
     last = last.select(F.col("bank_id").alias("l_bank"), "note_id", "root_kind", "root_seq", F.col("last.seq").alias("l_seq"), F.col("last.id").alias("l_id"))
     begun = facts.select(F.lit(1).alias("b_kind"), F.col("bank_id").alias("b_bank"), F.col("id").alias("b_id"), F.col("seq").cast("long").alias("b_seq"), F.col("links").alias("b_links"), F.col("utility").alias("b_utility"))
     begun = begun.unionByName(notes.select(F.lit(0).alias("b_kind"), F.col("bank_id").alias("b_bank"), F.col("id").alias("b_id"), F.col("write_seq").alias("b_seq"), F.col("links").alias("b_links"), F.col("utility").alias("b_utility")))
-    rooted = last.join(begun, F.col("l_bank").eqNullSafe(F.col("b_bank")) & (F.col("note_id") == F.col("b_id")) & (F.col("root_kind") == F.col("b_kind")) & (F.col("root_seq") == F.col("b_seq")))
+    rooted = last.join(_merged(begun), F.col("l_bank").eqNullSafe(F.col("b_bank")) & (F.col("note_id") == F.col("b_id")) & (F.col("root_kind") == F.col("b_kind")) & (F.col("root_seq") == F.col("b_seq")))
     base = notes.groupBy(F.col("bank_id").alias("m_bank")).agg(F.max("write_seq").alias("base"))
-    new = facts.join(rooted, F.col("bank_id").eqNullSafe(F.col("l_bank")) & (F.col("id") == F.col("l_id")) & (F.col("seq") == F.col("l_seq")))
+    new = facts.join(_merged(rooted), F.col("bank_id").eqNullSafe(F.col("l_bank")) & (F.col("id") == F.col("l_id")) & (F.col("seq") == F.col("l_seq")))
     new = new.join(base, F.col("bank_id").eqNullSafe(F.col("m_bank")), "left")
     own = {"id": F.col("note_id"), "links": F.col("b_links"), "utility": F.col("b_utility"), "write_seq": F.coalesce("base", F.lit(0)) + 1 + F.col("seq")}
     new = new.select(*[own.get(c, F.col(c)).cast(notes.schema[c].dataType).alias(c) for c in notes.columns])
     over = rooted.where("root_kind = 0").select(F.col("l_bank").alias("o_bank"), F.col("note_id").alias("o_id"))
-    return notes.join(over, F.col("bank_id").eqNullSafe(F.col("o_bank")) & (F.col("id") == F.col("o_id")), "left_anti").unionByName(new)
+    return notes.join(_merged(over), F.col("bank_id").eqNullSafe(F.col("o_bank")) & (F.col("id") == F.col("o_id")), "left_anti").unionByName(new)
