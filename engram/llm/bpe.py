@@ -39,11 +39,11 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the pattern of pre-tokens of this family of vocabularies.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Units, and parts of units, remembered in a worker.
-KNOWN, KNOWN_PARTS = 200_000, 500_000
+KNOWN, KNOWN_PARTS = 60_000, 150_000
 #: Pairs of tokens whose compatibility is remembered.
-KNOWN_PAIRS = 250_000
+KNOWN_PAIRS = 100_000
 #: Characters of texts that are in work at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 #: Parts that are one pre-token: a word, or marks.
 WHOLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
 NEVER = 1 << 60
@@ -221,34 +221,40 @@ def parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def _digested(batches: Iterator[pa.RecordBatch], bpe: Bpe) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> digests of the ids and of the decoded text. An idle worker keeps no more than ``bpe`` remembers."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    for b in batches:
+        counts, ids_sha, text_sha = [], [], []
+        n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+        for texts, last in pieces(b.column(1).to_pylist(), AT_ONCE):
+            ids, ends = bpe.encode_batch(texts)
+            digits, digits_at = looked_up(bpe.digits, ids)
+            raw, raw_at = looked_up(bpe.raw, ids)
+            start = 0
+            for end, done in zip(ends.tolist(), last, strict=True):
+                comma = not n and end > start  # each id's digits follow a comma, but for a text's first
+                ids_hash.update(digits[digits_at[start] + comma : digits_at[end]])
+                text_hash.update(str(raw[raw_at[start] : raw_at[end]], "utf-8", "replace").encode())
+                n, start = n + end - start, end
+                if done:
+                    counts.append(n)
+                    ids_sha.append(ids_hash.hexdigest())
+                    text_sha.append(text_hash.hexdigest())
+                    n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+            del ids, digits, raw
+            give_back(collect=False)  # else Arrow's pool keeps several times what is in work
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names)
+        del b  # not held while the next one is read
+    give_back()
+
+
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, document by document."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(shared.value)
-        for b in batches:
-            counts, ids_sha, text_sha = [], [], []
-            n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-            for texts, last in pieces(b.column(1).to_pylist(), AT_ONCE):
-                ids, ends = bpe.encode_batch(texts)
-                digits, digits_at = looked_up(bpe.digits, ids)
-                raw, raw_at = looked_up(bpe.raw, ids)
-                start = 0
-                for end, done in zip(ends.tolist(), last, strict=True):
-                    comma = not n and end > start  # each id's digits follow a comma, but for a text's first
-                    ids_hash.update(digits[digits_at[start] + comma : digits_at[end]])
-                    text_hash.update(str(raw[raw_at[start] : raw_at[end]], "utf-8", "replace").encode())
-                    n, start = n + end - start, end
-                    if done:
-                        counts.append(n)
-                        ids_sha.append(ids_hash.hexdigest())
-                        text_sha.append(text_hash.hexdigest())
-                        n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-                del ids, digits, raw
-                give_back(collect=False)  # else Arrow's pool keeps several times what is in work
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names)
+        yield from _digested(batches, loaded(shared.value))
 
     return integer_ids(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, integer_ids, written
+from engram.llm.common import claim, documents, integer_ids, written
 from engram.llm.filters import may_hold, row_filter
 from engram.llm.shingles import mixed
 
@@ -79,6 +79,7 @@ def _chunks(moduli: tuple[tuple[int, int], ...], wanted: Broadcast):
     names, types = ["fp", "n_bytes", "chunk_no", "chunk"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("exact_dedup", _powers.clear)
         table = wanted.value
         for b in batches:
             rows: list[tuple] = []
@@ -106,6 +107,7 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 def _digests(moduli: tuple[tuple[int, int], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("exact_dedup", _powers.clear)
         for b in batches:
             data = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             arrays = [

@@ -39,9 +39,9 @@ PIECES, MOST_LANGUAGES = 1_000_000, 50_000
 #: An unseen word counts this much of a known one; what a language lacks has this count.
 UNSEEN, LACKING = 0.5, 0.5
 #: Scores of tokens kept in a worker: at most so many tokens, and numbers in all.
-REMEMBERED, NUMBERS = 400_000, 20_000_000
+REMEMBERED, NUMBERS = 100_000, 20_000_000
 #: Texts that are in work at once.
-AT_ONCE = 1024
+AT_ONCE = 512
 #: Marks around a token that are no part of its words.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTER = regex.compile(r"\p{L}")
